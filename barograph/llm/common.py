@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,7 +53,7 @@ def held_out(doc_id, part: int, parts: int = 5):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def slices(texts: list, most: int = 4_000_000):
+def slices(texts: list, most: int = 2_000_000):
     """Consecutive (start, stop) ranges of a batch with about `most` characters each, to bound memory."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -60,3 +63,10 @@ def slices(texts: list, most: int = 4_000_000):
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def reachable(spark: SparkSession) -> None:
+    """Lets the Python workers import this package wherever the driver runs from."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, records
+from pyspark.sql import functions as F
+
+from . import chat, mixing, neardup, packing, records, substring
 from .common import table
 
 
+def op2_content_defined_dedup(spark, sf_dir):
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -14,5 +20,31 @@ def op4_record_files(spark, sf_dir):
     return records.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_record_files)}
+def op7_prefix_target_chat(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    turns = F.array(*[F.struct(F.lit(n).cast("long").alias("turn"), F.lit(role).alias("role"), said.alias("text")) for n, role in enumerate(("user", "assistant"))])
+    own = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.*")
+    return chat.format_and_read(rows.unionByName(own))
+
+
+def op8_pareto_mixing(spark, sf_dir):
+    return mixing.allocation(table(spark, sf_dir, "documents"))
+
+
+def op10_deletion_variant_dedup(spark, sf_dir):
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_content_defined_dedup,
+        op3_best_fit_packing,
+        op4_record_files,
+        op7_prefix_target_chat,
+        op8_pareto_mixing,
+        op10_deletion_variant_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
