@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neardup, packing, records, substring
+from . import chat, fingerprints, lm, mixing, neardup, packing, quality, records, substring, topk
 from .common import table
 
 
+def op1_pivot_topk(spark, sf_dir):
+    vectors = topk.integral(table(spark, sf_dir, "embeddings"))
+    found = topk.topk(vectors, vectors.filter("id % 50 = 0"), k=5)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op2_content_defined_dedup(spark, sf_dir):
     return substring.report(table(spark, sf_dir, "documents"))
 
@@ -20,6 +26,14 @@ def op4_record_files(spark, sf_dir):
     return records.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_hidden_markov_lm(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash_fingerprints(spark, sf_dir):
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 def op7_prefix_target_chat(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -32,6 +46,10 @@ def op8_pareto_mixing(spark, sf_dir):
     return mixing.allocation(table(spark, sf_dir, "documents"))
 
 
+def op9_rule_quality(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_deletion_variant_dedup(spark, sf_dir):
     return neardup.report(table(spark, sf_dir, "documents"))
 
@@ -39,12 +57,32 @@ def op10_deletion_variant_dedup(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_pivot_topk,
         op2_content_defined_dedup,
         op3_best_fit_packing,
         op4_record_files,
+        op5_hidden_markov_lm,
+        op6_simhash_fingerprints,
         op7_prefix_target_chat,
         op8_pareto_mixing,
+        op9_rule_quality,
         op10_deletion_variant_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_pivot_topk": """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op7_prefix_target_chat": None,
+}
+ORACLES = {k: v for k, v in ORACLES.items() if v}
