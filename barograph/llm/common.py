@@ -53,14 +53,17 @@ def held_out(doc_id, part: int, parts: int = 5):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def slices(texts: list, most: int = 2_000_000):
-    """Consecutive (start, stop) ranges of a batch with about `most` characters each, to bound memory."""
+def slices(texts, most: int = 2_000_000):
+    """Consecutive (start, stop) ranges of an Arrow column of texts with about `most` bytes each, to bound
+    memory; a longer text is a range of its own."""
+    import pyarrow.compute as pc
+
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()):
+        if size and size + n > most:
+            yield start, i
+            start, size = i, 0
+        size += n + 16
     if start < len(texts):
         yield start, len(texts)
 

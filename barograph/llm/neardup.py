@@ -43,9 +43,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for a, b in slices(texts):
-                fps = np.array([simhash(t, shingle) for t in texts[a:b]], "<u8").view("<i8")
+                fps = np.array([simhash(t, shingle) for t in texts[a:b].to_pylist()], "<u8").view("<i8")
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(fps)], names=["doc_id", "h", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
-from .tokens import WordEncoder, default_path
+from .tokens import default_path, encoder
 
 
 def cut(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
@@ -33,12 +33,12 @@ def cut(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity
     def run(batches):
         from pyspark import TaskContext
 
-        encode, end, part, seq, step = WordEncoder(path), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0, 4 * capacity
+        encode, end, part, seq, step = encoder(path), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0, 4 * capacity
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            ids, column = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in slices(column):
                 out = []
-                for doc_id, coded in zip(ids[a:b], encode(texts[a:b]), strict=True):
+                for doc_id, coded in zip(ids[a:b], encode(column[a:b].to_pylist()), strict=True):
                     coded += end
                     for k, at in enumerate(range(0, len(coded), step)):
                         piece = coded[at : at + step]

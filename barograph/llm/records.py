@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, slices
-from .tokens import WordEncoder, default_path
+from .tokens import default_path, encoder
 
 MASK_DELTA = 0xA282EAD8
 _HEAD, _SUM, _BODY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq")
@@ -78,11 +78,11 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(max(1, -(-size // file_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches):
-        encode, end = WordEncoder(vocabulary), np.asarray([end_id], "<u4").tobytes()
+        encode, end = encoder(vocabulary), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                out = [frame(encode_body(i, x + end)) for i, x in zip(ids[a:b], encode(texts[a:b]), strict=True)]
+            ids, column = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in slices(column):
+                out = [frame(encode_body(i, x + end)) for i, x in zip(ids[a:b], encode(column[a:b].to_pylist()), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("compression", "none").text(path)

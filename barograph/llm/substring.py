@@ -83,9 +83,9 @@ def chunks(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
         digest, gear = xxhash.xxh3_64_intdigest, gear_table()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for a, b in slices(texts):
-                data, doc, start, stop, words = chunk_texts(texts[a:b], bits, gear=gear)
+                data, doc, start, stop, words = chunk_texts(texts[a:b].to_pylist(), bits, gear=gear)
                 if not len(doc):
                     continue
                 first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
@@ -154,7 +154,7 @@ def cleaned(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
             texts, spans = batch.column(batch.schema.get_field_index("_old")).to_pylist(), batch.column(batch.schema.get_field_index("spans")).to_pylist()
             new, removed, count = list(texts), [[] for _ in texts], [0] * len(texts)
             todo = [i for i, s in enumerate(spans) if s]
-            for a, b in slices([texts[i] for i in todo]):
+            for a, b in slices(pa.array([texts[i] for i in todo], pa.string())):
                 own = todo[a:b]
                 data, doc, start, stop, _ = chunk_texts([texts[i] for i in own], bits)
                 first = np.searchsorted(doc, np.arange(len(own)))

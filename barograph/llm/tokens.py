@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
+#: Trailing marks that are a token run of their own after a letter. The apostrophe is not among them.
+_TAIL = b".,;:!?|%&*#$()[]-+=/\"@~^_{}`\\"
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -16,27 +22,76 @@ def default_path() -> str:
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and no token spans it, so a text's ids are its words' ids one
-    after another. Each distinct word of a batch goes to the tokenizers library once; the words of
-    later batches are looked up. The look-up table is emptied at `most` words to bound memory.
+    The vocabulary drops white space, lower-cases, and splits between letters and marks before it
+    merges, so a text's ids are its words' ids one after another, and a word's are those of its
+    letters and its trailing marks. Words are looked up, then their letters; new letters go to the
+    tokenizers library many words at a time (each ends with the one token that has the end-of-word
+    mark), other words one by one. When more than `most` words are known, only those of the texts at hand stay.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"]["end_of_word_suffix"]
+        self.tokenizer, self.most, self.known, self.cores = Tokenizer.from_file(path), most, {}, {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab(False).items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.plain = bool(suffix)
+
+    def one_by_one(self, words: list[bytes]) -> dict:
+        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(words, coded, strict=True)}
+
+    def together(self, words: list[bytes]) -> dict:
+        """Words of letters only."""
+        found = {}
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(part):
+                return self.one_by_one(words)
+            raw, stops = ids.tobytes(), stops.tolist()
+            found.update(zip(part, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+        return found
+
+    def learn(self, new: set) -> None:
+        made, odd, cores, known = [], [], self.cores, self.known
+        for w in new if self.plain else ():
+            core = w.rstrip(_TAIL)
+            if core.isalpha():  # ASCII
+                made.append((w, core.lower(), w[len(core) :]))
+                continue
+            text = core.decode("utf-8", "replace")
+            low = text.lower()
+            if text.isalpha() and low.isalpha() and len(low) == len(text) and unicodedata.is_normalized("NFC", text):
+                made.append((w, core, w[len(core) :]))
+            else:
+                odd.append(w)
+        wanted = {x for _, x, _ in made}
+        if len(cores) > self.most:
+            self.cores = cores = {x: cores[x] for x in wanted & cores.keys()}
+        cores.update(self.together(list(wanted - cores.keys())))
+        tails = list({x for _, _, x in made} - known.keys())
+        known.update(self.one_by_one(tails))
+        for w, core, tail in made:
+            known[w] = cores[core] + known[tail] if tail else cores[core]
+        known.update(self.one_by_one(odd if self.plain else list(new)))
 
     def __call__(self, texts: list) -> list[bytes]:
         words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         wanted = set().union(*words) if words else set()
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = wanted
-        new = list(new)
-        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, e in zip(new, coded, strict=True):
-            self.known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        if len(self.known) > self.most:
+            self.known = {w: self.known[w] for w in wanted & self.known.keys()}
+        self.learn(wanted - self.known.keys())
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder: tasks that follow one another in a worker share its look-up table."""
+    return WordEncoder(path)
