@@ -25,7 +25,8 @@ def regime_series(df: DataFrame, ret: str = "ret", vol_window: int | None = None
     seen = F.count("vol").over(expanding(by)) >= n
     quantiles = F.percentile("vol", F.array(F.lit(low), F.lit(high))).over(expanding(by))
     df = df.withColumn("_q", F.when(seen, quantiles)).withColumns({"low_threshold": F.col("_q")[0], "high_threshold": F.col("_q")[1]}).drop("_q")
-    return df.withColumn("regime", F.when(F.col("vol") >= F.col("high_threshold"), HIGH).when(F.col("vol") <= F.col("low_threshold"), LOW).otherwise(NORMAL))
+    v, lo, hi = (F.round(c, 12) for c in ("vol", "low_threshold", "high_threshold"))  # ties up to rounding
+    return df.withColumn("regime", F.when(v >= hi, HIGH).when(v <= lo, LOW).otherwise(NORMAL))
 
 
 def current_regime(df: DataFrame, ret: str = "ret", by: Sequence[str] = KEYS) -> DataFrame:

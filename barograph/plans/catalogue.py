@@ -1,4 +1,380 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries: each applies an operator to bars derived from the whole test tables, and has an
+SQL form for DuckDB. Doubles are rounded on both sides, as sums may differ in their last digits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import backtest as bt
+from ..operators import clean, correlation, drawdown, eventstudy, indicators, regime, returns, summary, volatility
+from ..sources import bars as src
+from ..sources import events as cal
+from . import sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.add_returns(src.walk_bars(table(spark, sf_dir, "lineitem")))
+
+
+def ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.add_returns(src.interval_bars(table(spark, sf_dir, "events")))
+
+
+def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars with planted faults: holes in open, close and volume, contradicting and repeated rows."""
+    df = src.interval_bars(table(spark, sf_dir, "events"))
+    from ..functions.windows import over
+
+    df = df.withColumn("rn", F.row_number().over(over()))
+    hit = lambda m, k: F.col("rn") % m == k
+    df = df.withColumns({
+        "open": F.when(~hit(17, 3), F.col("open")),
+        "high": F.when(hit(23, 5), F.col("low") - 1).otherwise(F.col("high")),
+        "close": F.when(~hit(29, 7), F.col("close")),
+        "volume": F.when(~hit(13, 4), F.col("volume")),
+        "adj_close": F.when(~hit(29, 7), F.col("close")),
+        "ingest_seq": F.lit(1),
+    })
+    again = df.filter(hit(11, 2)).withColumns({"close": F.col("close") + 1, "adj_close": F.col("close") + 1, "high": F.col("high") + 1, "ingest_seq": F.lit(2)})
+    return df.unionByName(again).drop("rn")
+
+
+def quarter_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first order day of each quarter, as events."""
+    d = F.col("o_orderdate")
+    days = table(spark, sf_dir, "orders").groupBy(F.date_trunc("quarter", d).alias("q")).agg(F.min(d).cast("date").alias("date"))
+    return days.select("date", F.lit("US").alias("country"), F.lit(cal.EVENT_TYPES[0]).alias("event"))
+
+
+def shown(df: DataFrame, *cols: str, day: bool = True, digits: int = 6) -> DataFrame:
+    """The named columns, doubles rounded (and without negative zero), times as days if day."""
+    kinds = dict(df.dtypes)
+    out = []
+    for c in cols or df.columns:
+        if kinds[c] == "double":
+            out.append((F.round(c, digits) + F.lit(0.0)).alias(c))
+        elif kinds[c].startswith("timestamp") and day:
+            out.append(F.col(c).cast("date").alias(c))
+        else:
+            out.append(F.col(c))
+    return df.select(*out)
+
+
+@query(sql.CLEAN_BARS)
+def clean_bars(spark, sf_dir):
+    return shown(clean.clean_bars(raw_bars(spark, sf_dir)), day=False)
+
+
+@query(sql.CLEAN_REPORT)
+def clean_report(spark, sf_dir):
+    return clean.cleaning_report(raw_bars(spark, sf_dir))
+
+
+@query(sql.RETURNS)
+def daily_log_returns(spark, sf_dir):
+    return shown(walk(spark, sf_dir), "asset_key", "date", "close", "ret", "log_ret")
+
+
+@query(sql.CUMULATIVE)
+def cumulative_returns(spark, sf_dir):
+    return shown(returns.cumulative_returns(walk(spark, sf_dir)), "asset_key", "date", "cum_ret")
+
+
+@query(sql.TRAILING)
+def trailing_returns(spark, sf_dir):
+    return shown(returns.trailing_returns(walk(spark, sf_dir)))
+
+
+@query(sql.PERIOD)
+def period_return(spark, sf_dir):
+    return shown(returns.period_return(walk(spark, sf_dir), 63))
+
+
+@query(sql.TOTAL)
+def total_return_cagr(spark, sf_dir):
+    return shown(returns.total_return_cagr(walk(spark, sf_dir)))
+
+
+@query(sql.CAGR)
+def cagr_from_returns(spark, sf_dir):
+    return shown(returns.cagr_from_returns(walk(spark, sf_dir)))
+
+
+@query(sql.BEST)
+def best_worst_day(spark, sf_dir):
+    return shown(returns.best_worst(walk(spark, sf_dir)))
+
+
+@query(sql.resample("last_day(CAST(date AS DATE))", "date_trunc('month', p)", "INTERVAL 1 MONTH", "last_day(CAST(d AS DATE))"))
+def resample_monthly(spark, sf_dir):
+    return shown(returns.resample_returns(walk(spark, sf_dir), "ME"))
+
+
+@query(sql.resample("CAST(date AS DATE) + CAST((7 - isodow(CAST(date AS DATE))) % 7 AS INTEGER)", "p", "INTERVAL 7 DAY", "CAST(d AS DATE)", "ohlc"))
+def resample_weekly(spark, sf_dir):
+    return shown(returns.resample_returns(ohlc(spark, sf_dir), "W"))
+
+
+@query(sql.resample("make_date(CAST(year(date) AS INTEGER), 12, 31)", "date_trunc('year', p)", "INTERVAL 1 YEAR", "make_date(CAST(year(d) AS INTEGER), 12, 31)"))
+def resample_yearly(spark, sf_dir):
+    return shown(returns.resample_returns(walk(spark, sf_dir), "YE"))
+
+
+@query(sql.LAST24)
+def last_24_months(spark, sf_dir):
+    return shown(returns.last_periods(returns.resample_returns(walk(spark, sf_dir), "ME"), 24))
+
+
+@query(sql.ROLLING_VOL)
+def rolling_vol(spark, sf_dir):
+    return shown(volatility.volatility_frame(walk(spark, sf_dir)), "asset_key", "date", "vol_20d", "vol_60d")
+
+
+@query(sql.ANNUAL_VOL)
+def annualized_vol(spark, sf_dir):
+    return shown(volatility.annualized_volatility(walk(spark, sf_dir)))
+
+
+@query(sql.REALIZED_VOL)
+def realized_vol(spark, sf_dir):
+    return shown(volatility.realized_volatility(walk(spark, sf_dir), 20))
+
+
+@query(sql.DRAWDOWN)
+def drawdown_series(spark, sf_dir):
+    return shown(drawdown.drawdown_series(walk(spark, sf_dir)), "asset_key", "date", "peak", "drawdown")
+
+
+@query(sql.DRAWDOWN_RET)
+def drawdown_from_returns(spark, sf_dir):
+    return shown(drawdown.drawdown_from_returns(walk(spark, sf_dir)), "asset_key", "date", "equity", "peak", "drawdown")
+
+
+@query(sql.DRAWDOWN_STATS)
+def max_drawdown_stats(spark, sf_dir):
+    return shown(drawdown.max_drawdown_stats(walk(spark, sf_dir)))
+
+
+@query(sql.REGIME)
+def regime_series(spark, sf_dir):
+    return shown(regime.regime_series(walk(spark, sf_dir)), "asset_key", "date", "vol", "low_threshold", "high_threshold", "regime")
+
+
+@query(sql.REGIME_NOW)
+def current_regime(spark, sf_dir):
+    return regime.current_regime(walk(spark, sf_dir))
+
+
+@query(sql.REGIME_PERF)
+def performance_by_regime(spark, sf_dir):
+    return shown(regime.performance_by_regime(walk(spark, sf_dir)))
+
+
+@query(sql.TREND)
+def trend_series(spark, sf_dir):
+    return shown(regime.trend_series(walk(spark, sf_dir)), "asset_key", "date", "sma_fast", "sma_slow", "trend")
+
+
+@query(sql.TREND_NOW)
+def current_trend(spark, sf_dir):
+    return regime.current_trend(walk(spark, sf_dir))
+
+
+@query(sql.CORR)
+def correlation_matrix(spark, sf_dir):
+    return shown(correlation.correlation_matrix(walk(spark, sf_dir)))
+
+
+@query(sql.SPEARMAN)
+def correlation_spearman(spark, sf_dir):
+    bars = walk(spark, sf_dir).withColumn("ret", F.round("ret", 9))  # equal moves are ties
+    return shown(correlation.correlation_matrix(bars, method="spearman"))
+
+
+@query(sql.KENDALL)
+def correlation_kendall_monthly(spark, sf_dir):
+    months = returns.resample_returns(walk(spark, sf_dir), "ME").withColumnRenamed("period", "date")
+    return shown(correlation.correlation_matrix(months, method="kendall"))
+
+
+@query(sql.ROLLING_CORR)
+def rolling_correlation(spark, sf_dir):
+    return shown(correlation.rolling_correlation(walk(spark, sf_dir), "A", "N", 60))
+
+
+@query(sql.COMPARATIVE)
+def comparative_returns(spark, sf_dir):
+    out = correlation.comparative_returns(ohlc(spark, sf_dir)).withColumn("log_growth", F.log1p("cum_ret"))
+    return shown(out, "asset_key", "date", "log_growth", day=False, digits=3)
+
+
+@query(sql.NORMALISED)
+def normalised_prices(spark, sf_dir):
+    out = correlation.normalised_prices(ohlc(spark, sf_dir)).withColumn("log_growth", F.log1p("cum_ret"))
+    return shown(out, "asset_key", "date", "log_growth", day=False, digits=3)
+
+
+@query(sql.VOL_COMPARE)
+def volatility_comparison(spark, sf_dir):
+    return shown(correlation.volatility_comparison(ohlc(spark, sf_dir), 20), day=False)
+
+
+@query(sql.ALIGNED)
+def aligned_returns(spark, sf_dir):
+    return shown(correlation.aligned(walk(spark, sf_dir), "ret", ["A", "N", "R"]))
+
+
+@query(sql.ALIGNED_PRICES)
+def aligned_prices(spark, sf_dir):
+    return shown(correlation.aligned(walk(spark, sf_dir), "adj_close", ["A", "N", "R"]))
+
+
+@query(sql.MOVING)
+def moving_averages(spark, sf_dir):
+    return shown(indicators.moving_averages(walk(spark, sf_dir)), "asset_key", "date", "sma_20", "sma_50", "sma_200", "ema_20", "ema_50")
+
+
+@query(sql.RSI)
+def rsi(spark, sf_dir):
+    return shown(indicators.rsi(walk(spark, sf_dir)), "asset_key", "date", "rsi")
+
+
+@query(sql.MACD)
+def macd(spark, sf_dir):
+    return shown(indicators.macd(walk(spark, sf_dir)), "asset_key", "date", "macd", "macd_signal", "macd_histogram")
+
+
+@query(sql.BOLLINGER)
+def bollinger(spark, sf_dir):
+    return shown(indicators.bollinger(walk(spark, sf_dir)), "asset_key", "date", "bb_middle", "bb_upper", "bb_lower", "bb_width")
+
+
+@query(sql.ATR)
+def true_range_atr(spark, sf_dir):
+    return shown(indicators.atr(ohlc(spark, sf_dir)), "asset_key", "date", "true_range", "atr", day=False)
+
+
+@query(sql.SIGNAL_MA)
+def signal_ma(spark, sf_dir):
+    return shown(bt.MovingAverageCrossover().signal(walk(spark, sf_dir)), "asset_key", "date", "signal")
+
+
+@query(sql.SIGNAL_RSI)
+def signal_rsi(spark, sf_dir):
+    return shown(bt.RSIMeanReversion().signal(walk(spark, sf_dir)), "asset_key", "date", "signal")
+
+
+DAILY = ("close", "signal", "ret", "position", "turnover", "cost", "gross_ret", "net_ret", "equity", "gross_equity", "benchmark")
+
+
+@query(sql.BACKTEST)
+def backtest_daily(spark, sf_dir):
+    return shown(bt.run_backtest(walk(spark, sf_dir), bt.MovingAverageCrossover()), "asset_key", "date", *DAILY, digits=4)
+
+
+@query(sql.BACKTEST_RSI)
+def backtest_rsi_daily(spark, sf_dir):
+    return shown(bt.run_backtest(walk(spark, sf_dir), bt.RSIMeanReversion()), "asset_key", "date", *DAILY, digits=4)
+
+
+@query(sql.TRADES)
+def backtest_trades(spark, sf_dir):
+    return shown(bt.extract_trades(bt.run_backtest(walk(spark, sf_dir), bt.MovingAverageCrossover())))
+
+
+@query(sql.METRICS)
+def backtest_metrics(spark, sf_dir):
+    daily = bt.run_backtest(walk(spark, sf_dir), bt.MovingAverageCrossover())
+    return shown(bt.compute_metrics(daily, bt.extract_trades(daily)))
+
+
+@query(sql.METRICS_TABLE)
+def backtest_metrics_table(spark, sf_dir):
+    table = bt.metrics_table(bt.metrics_bundle(bt.run_backtest(walk(spark, sf_dir), bt.MovingAverageCrossover())))
+    return shown(table.filter("metric in ('total_return', 'cagr', 'volatility', 'max_drawdown', 'num_trades')"))
+
+
+@query(sql.OOS)
+def backtest_oos(spark, sf_dir):
+    from datetime import date
+
+    parts = bt.split_dev_oos(walk(spark, sf_dir), (date(1995, 1, 1), date(1999, 12, 31)), (date(2000, 1, 1), date(2001, 12, 31)))
+    by = ["asset_key", "segment"]
+    daily = bt.run_backtest(parts, bt.MovingAverageCrossover(), by=by)
+    return shown(bt.compute_metrics(daily, bt.extract_trades(daily, by), by=by))
+
+
+@query(sql.EVENT_WINDOWS)
+def event_windows(spark, sf_dir):
+    return shown(eventstudy.event_windows(walk(spark, sf_dir), quarter_events(spark, sf_dir)))
+
+
+@query(sql.EVENT_STUDY)
+def event_study(spark, sf_dir):
+    return shown(eventstudy.study_events(walk(spark, sf_dir), quarter_events(spark, sf_dir)))
+
+
+@query(sql.EVENT_PATH)
+def event_average_path(spark, sf_dir):
+    return shown(eventstudy.average_event_path(walk(spark, sf_dir), quarter_events(spark, sf_dir)))
+
+
+@query(sql.EVENTS_IMPORT)
+def events_import(spark, sf_dir):
+    mine = cal.typed(quarter_events(spark, sf_dir).withColumn("actual", F.lit(1.0)))
+    new = table(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("m")).agg(F.min("o_orderdate").cast("date").alias("date"))
+    new = new.select("date", F.lit("US").alias("country"), F.lit(cal.EVENT_TYPES[0]).alias("event"), F.lit("2.0").alias("actual"))
+    return cal.import_events(mine, new)
+
+
+@query(sql.EVENTS_LATEST)
+def events_latest(spark, sf_dir):
+    return cal.of_type(quarter_events(spark, sf_dir), cal.EVENT_TYPES[0])
+
+
+@query(sql.EVENTS_SEED)
+def events_seed(spark, sf_dir):
+    return cal.seed_events(spark).groupBy("country", "event").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+@query(sql.TAPE)
+def tape(spark, sf_dir):
+    return shown(summary.tape(walk(spark, sf_dir)))
+
+
+@query(sql.SPARK)
+def sparkline(spark, sf_dir):
+    return shown(summary.sparkline(walk(spark, sf_dir)))
+
+
+@query(sql.SNAPSHOT)
+def snapshot(spark, sf_dir):
+    return shown(summary.snapshot(walk(spark, sf_dir)).withColumn("n_observations", F.size("observations")).drop("observations"))
+
+
+@query(sql.OVERVIEW)
+def market_overview(spark, sf_dir):
+    return shown(summary.market_overview(walk(spark, sf_dir)))
+
+
+@query(sql.STREAM_BARS)
+def hourly_bars(spark, sf_dir):
+    return shown(src.interval_bars(table(spark, sf_dir, "events")), day=False)
