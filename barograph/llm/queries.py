@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from . import chat, fingerprints, lm, mixing, neardup, packing, quality, records, substring, topk
@@ -69,6 +71,7 @@ QUERIES = {
         op10_deletion_variant_dedup,
     )
 }
+CONTROLS = "|".join(re.escape(c) for c in chat.CONTROL)
 ORACLES: dict[str, str] = {
     "op1_pivot_topk": """
 WITH sound AS (
@@ -83,6 +86,24 @@ WITH sound AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
-    "op7_prefix_target_chat": None,
+    "op7_prefix_target_chat": f"""
+WITH rows_of AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM rows_of
+), sized AS (
+  SELECT *, {len(chat.START + chat.SEP + chat.END)} + length(role || text) + length(role || text) - length(replace(role || text, '\\', ''))
+         + len(regexp_extract_all(role, '{CONTROLS}')) + len(regexp_extract_all(text, '{CONTROLS}')) AS chars
+  FROM turns
+), shown AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM sized)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(length(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (role = 'assistant' OR k = n) AS n_examples
+FROM shown GROUP BY conv_id""",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
