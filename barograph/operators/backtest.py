@@ -10,6 +10,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import CONFIG, KEYS
 from ..functions.windows import expanding, growth, over, ratio
@@ -90,7 +91,7 @@ class PandasStrategy:
             bars = bars.sort_values("date").reset_index(drop=True)
             return bars.assign(signal=pd.to_numeric(function(bars)).fillna(0.0).astype(float).to_numpy())
 
-        return df.groupBy(*by).applyInPandas(run, df.schema.add("signal", "double"))
+        return df.groupBy(*by).applyInPandas(run, StructType([*df.schema.fields, StructField("signal", DoubleType())]))
 
     def params(self) -> dict[str, str]:
         return {}

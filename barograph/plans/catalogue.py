@@ -211,7 +211,7 @@ def correlation_spearman(spark, sf_dir):
 
 @query(sql.KENDALL)
 def correlation_kendall_monthly(spark, sf_dir):
-    months = returns.resample_returns(walk(spark, sf_dir), "ME").withColumnRenamed("period", "date")
+    months = returns.resample_returns(walk(spark, sf_dir), "ME").select("asset_key", F.col("period").alias("date"), F.round("ret", 9).alias("ret"))
     return shown(correlation.correlation_matrix(months, method="kendall"))
 
 

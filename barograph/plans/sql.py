@@ -158,7 +158,7 @@ ranks AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OV
           rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS y FROM (SELECT date, a, b, round(x, 9) AS x, round(y, 9) AS y FROM pairs) WHERE x IS NOT NULL AND y IS NOT NULL),
 half AS (SELECT a, b, {PEARSON} AS corr, count(*) AS n FROM ranks GROUP BY 1, 2), {MIRROR} SELECT a, b, {r("corr")}, n FROM whole"""
 KENDALL = f"""WITH {MONTHS.replace(WALK, WALK.replace("walk AS", "daily AS")).replace("FROM walk GROUP", "FROM daily GROUP")},
-walk AS (SELECT asset_key, period AS date, x AS ret FROM resampled), {PAIRS},
+walk AS (SELECT asset_key, period AS date, round(x, 9) AS ret FROM resampled), {PAIRS},
 sums AS (SELECT p.a, p.b, sum(sign(p.x - q.x) * sign(p.y - q.y)) AS s, sum(abs(sign(p.x - q.x))) AS tx, sum(abs(sign(p.y - q.y))) AS ty
          FROM pairs p JOIN pairs q ON p.a = q.a AND p.b = q.b AND p.date < q.date GROUP BY 1, 2),
 half AS (SELECT a, b, s / sqrt(tx * ty) AS corr, n FROM sums JOIN (SELECT a, b, count(*) AS n FROM pairs GROUP BY 1, 2) USING (a, b)), {MIRROR}
