@@ -38,7 +38,7 @@ def cut(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity
             ids, column = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(column):
                 out = []
-                for doc_id, coded in zip(ids[a:b], encode(column[a:b].to_pylist()), strict=True):
+                for doc_id, coded in zip(ids[a:b], encode(column[a:b]), strict=True):
                     coded += end
                     for k, at in enumerate(range(0, len(coded), step)):
                         piece = coded[at : at + step]

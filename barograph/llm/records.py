@@ -82,7 +82,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
         for batch in batches:
             ids, column = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(column):
-                out = [frame(encode_body(i, x + end)) for i, x in zip(ids[a:b], encode(column[a:b].to_pylist()), strict=True)]
+                out = [frame(encode_body(i, x + end)) for i, x in zip(ids[a:b], encode(column[a:b]), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("compression", "none").text(path)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import os
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Trailing marks that are a token run of their own after a letter. The apostrophe is not among them.
-_TAIL = b".,;:!?|%&*#$()[]-+=/\"@~^_{}`\\"
+#: Trailing marks that are a piece of their own after letters. The apostrophe is not among them.
+_TAIL = ".,;:!?|%&*#$()[]-+=/\"@~^_{}`\\"
 
 
 def default_path() -> str:
@@ -19,38 +20,46 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def gather(flat: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of flat (of these lengths, one after another) in the order of index, and their lengths."""
+    starts, n = np.cumsum(lengths) - lengths, lengths[index]
+    places = np.arange(n.sum()) + np.repeat(starts[index] - (np.cumsum(n) - n), n)
+    return flat[places], n
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space, lower-cases, and splits between letters and marks before it
     merges, so a text's ids are its words' ids one after another, and a word's are those of its
-    letters and its trailing marks. Words are looked up, then their letters; new letters go to the
-    tokenizers library many words at a time (each ends with the one token that has the end-of-word
-    mark), other words one by one. When more than `most` words are known, only those of the texts at hand stay.
+    letters and its trailing marks. A batch of texts is reduced to its distinct words and these to
+    their distinct letters and marks; what is new of those goes to the tokenizers library. Letters
+    go many words at a time (each ends with the one token that has the end-of-word mark), anything
+    else one by one. When more than `most` pieces are known, only those of the batch at hand stay.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             suffix = json.load(f)["model"]["end_of_word_suffix"]
-        self.tokenizer, self.most, self.known, self.cores = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab(False).items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.plain = bool(suffix)
 
-    def one_by_one(self, words: list[bytes]) -> dict:
-        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+    def one_by_one(self, words: list[str]) -> dict:
+        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(words, coded, strict=True)}
 
-    def together(self, words: list[bytes]) -> dict:
+    def together(self, words: list[str]) -> dict:
         """Words of letters only."""
         found = {}
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) != len(part):
                 return self.one_by_one(words)
@@ -58,37 +67,43 @@ class WordEncoder:
             found.update(zip(part, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
         return found
 
-    def learn(self, new: set) -> None:
-        made, odd, cores, known = [], [], self.cores, self.known
-        for w in new if self.plain else ():
-            core = w.rstrip(_TAIL)
-            if core.isalpha():  # ASCII
-                made.append((w, core.lower(), w[len(core) :]))
-                continue
-            text = core.decode("utf-8", "replace")
-            low = text.lower()
-            if text.isalpha() and low.isalpha() and len(low) == len(text) and unicodedata.is_normalized("NFC", text):
-                made.append((w, core, w[len(core) :]))
-            else:
-                odd.append(w)
-        wanted = {x for _, x, _ in made}
-        if len(cores) > self.most:
-            self.cores = cores = {x: cores[x] for x in wanted & cores.keys()}
-        cores.update(self.together(list(wanted - cores.keys())))
-        tails = list({x for _, _, x in made} - known.keys())
-        known.update(self.one_by_one(tails))
-        for w, core, tail in made:
-            known[w] = cores[core] + known[tail] if tail else cores[core]
-        known.update(self.one_by_one(odd if self.plain else list(new)))
-
-    def __call__(self, texts: list) -> list[bytes]:
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        wanted = set().union(*words) if words else set()
+    def pieces(self, words: pa.Array) -> pa.Array:
+        """Two strings a word: its letters in lower case and its trailing marks, or the whole word and
+        nothing. Letters outside ASCII stay as they are, and count only if composing and lower case
+        leave them letters, one for one."""
+        core = pc.ascii_rtrim(words, _TAIL)
+        low = pc.utf8_lower(core)
+        letters = pc.and_(pc.utf8_is_alpha(core), pc.utf8_is_alpha(low))
+        letters = pc.and_(letters, pc.equal(pc.utf8_length(low), pc.utf8_length(core)))
+        letters = pc.and_(letters, pc.equal(pc.utf8_normalize(core, "NFC"), core)).to_numpy(zero_copy_only=False) & self.plain
+        words = pa.concat_arrays([words])  # offsets from 0
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
+        cut = np.where(letters, offsets[:-1] + pc.binary_length(core).to_numpy(), offsets[1:])
+        both = np.empty(2 * len(words) + 1, np.int32)
+        both[0::2], both[1::2] = offsets, cut
+        split = pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(both), words.buffers()[2])
+        return pc.if_else(pa.array(np.repeat(letters, 2)), pc.ascii_lower(split), split)
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        lists = pc.ascii_split_whitespace(texts)
+        first = lists.offsets[0].as_py() if len(lists) else 0
+        coded = lists.flatten().dictionary_encode()
+        parts = self.pieces(coded.dictionary).dictionary_encode()
+        names = parts.dictionary.to_pylist()
         if len(self.known) > self.most:
-            self.known = {w: self.known[w] for w in wanted & self.known.keys()}
-        self.learn(wanted - self.known.keys())
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+            self.known = {n: self.known[n] for n in {*names, ""} & self.known.keys()}
+        new = [n for n in names if n not in self.known]
+        alpha = [n.isalpha() and self.plain for n in new]
+        self.known.update(self.together([n for n, a in zip(new, alpha, strict=True) if a]))
+        self.known.update(self.one_by_one([n for n, a in zip(new, alpha, strict=True) if not a]))
+        ids = [self.known[n] for n in names]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, n = gather(np.frombuffer(b"".join(ids), "<u4"), lengths, parts.indices.to_numpy())
+        flat, n = gather(flat, n[0::2] + n[1::2], coded.indices.to_numpy())
+        ends = np.append(0, np.cumsum(n))[lists.offsets.to_numpy() - first] * 4
+        raw = flat.tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=1)
