@@ -68,6 +68,11 @@ def frames(data: bytes):
         at = end + 5
 
 
+def body_at(data: bytes, offset: int, length: int) -> bytes:
+    at = offset + _HEAD.size
+    return data[at : at + length]
+
+
 def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, file_bytes: int = 24 << 20) -> None:
     """Writes every document's ids and end id in ascending doc_id order (null ids first, equal ids by
     a hash of their text). Files hold about file_bytes of text each. A null text counts as empty;
@@ -127,8 +132,7 @@ def read_shuffled(spark: SparkSession, path: str, index: DataFrame, seed: int =
             for k in range(batch.num_rows):
                 data, out = batch.column(0)[k].as_py(), []
                 for span in batch.column(1)[k].as_py():
-                    at = span["offset"] + _HEAD.size
-                    out.append(decode_body(data[at : at + span["length"]]))
+                    out.append(decode_body(body_at(data, span["offset"], span["length"])))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["doc_id", "ids"])
 
