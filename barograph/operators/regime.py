@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, KEYS
@@ -15,23 +15,37 @@ LOW, NORMAL, HIGH = "Low", "Normal", "High"
 BULLISH, NEUTRAL, BEARISH = "Bullish", "Neutral", "Bearish"
 
 
-def regime_series(df: DataFrame, ret: str = "ret", vol_window: int | None = None, low: float | None = None, high: float | None = None, by: Sequence[str] = KEYS) -> DataFrame:
-    """Rows with a known rolling volatility: vol, low_threshold, high_threshold (exact expanding
-    quantiles, NULL until vol_window volatilities are known) and regime. High goes before Low where
-    both hold; without thresholds the regime is Normal."""
+def with_regime(df: DataFrame, ret: str = "ret", vol_window: int | None = None, low: float | None = None, high: float | None = None, by: Sequence[str] = KEYS) -> DataFrame:
+    """Adds vol (rolling), low_threshold, high_threshold (exact expanding quantiles, NULL until vol_window
+    volatilities are known) and regime. High goes before Low where both hold; without thresholds the
+    regime is Normal, without a volatility NULL."""
     a = CONFIG.analysis.regime
     n, low, high = vol_window or a[2], a[0] if low is None else low, a[1] if high is None else high
-    df = df.withColumn("vol", rolling_volatility(n, ret, by=by)).filter(F.col("vol").isNotNull())
+    df = df.withColumn("vol", rolling_volatility(n, ret, by=by))
     seen = F.count("vol").over(expanding(by)) >= n
     quantiles = F.percentile("vol", F.array(F.lit(low), F.lit(high))).over(expanding(by))
     df = df.withColumn("_q", F.when(seen, quantiles)).withColumns({"low_threshold": F.col("_q")[0], "high_threshold": F.col("_q")[1]}).drop("_q")
     v, lo, hi = (F.round(c, 12) for c in ("vol", "low_threshold", "high_threshold"))  # ties up to rounding
-    return df.withColumn("regime", F.when(v >= hi, HIGH).when(v <= lo, LOW).otherwise(NORMAL))
+    return df.withColumn("regime", F.when(v >= hi, HIGH).when(v <= lo, LOW).when(v.isNotNull(), NORMAL))
+
+
+def regime_series(df: DataFrame, ret: str = "ret", vol_window: int | None = None, low: float | None = None, high: float | None = None, by: Sequence[str] = KEYS) -> DataFrame:
+    """The rows of with_regime that have a volatility."""
+    return with_regime(df, ret, vol_window, low, high, by).filter(F.col("vol").isNotNull())
+
+
+def latest_regime() -> Column:
+    """Aggregate over with_regime: the last known regime, or Unknown."""
+    return F.coalesce(F.max_by("regime", F.when(F.col("regime").isNotNull(), F.col("date"))), F.lit("Unknown"))
+
+
+def latest_trend(price: str) -> Column:
+    """Aggregate over trend_series: the trend at the last known price, Neutral without any."""
+    return F.coalesce(F.max_by("trend", F.when(F.col(price).isNotNull(), F.col("date"))), F.lit(NEUTRAL))
 
 
 def current_regime(df: DataFrame, ret: str = "ret", by: Sequence[str] = KEYS) -> DataFrame:
-    last = regime_series(df, ret, by=by).groupBy(*by).agg(F.max_by("regime", "date").alias("regime"))
-    return df.select(*by).distinct().join(last, list(by), "left").withColumn("regime", F.coalesce("regime", F.lit("Unknown")))
+    return with_regime(df, ret, by=by).groupBy(*by).agg(latest_regime().alias("regime"))
 
 
 def performance_by_regime(df: DataFrame, ret: str = "ret", by: Sequence[str] = KEYS) -> DataFrame:
@@ -53,5 +67,4 @@ def trend_series(df: DataFrame, price: str = "adj_close", fast: int | None = Non
 
 
 def current_trend(df: DataFrame, price: str = "adj_close", by: Sequence[str] = KEYS) -> DataFrame:
-    rows = trend_series(df.filter(F.col(price).isNotNull()), price, by=by).groupBy(*by).agg(F.max_by("trend", "date").alias("trend"))
-    return df.select(*by).distinct().join(rows, list(by), "left").withColumn("trend", F.coalesce("trend", F.lit(NEUTRAL)))
+    return trend_series(df, price, by=by).groupBy(*by).agg(latest_trend(price).alias("trend"))

@@ -22,36 +22,42 @@ def cumulative_returns(df: DataFrame, ret: str = "ret", out: str = "cum_ret", by
     return df.withColumn(out, F.product(1 + F.coalesce(F.col(ret), F.lit(0.0))).over(expanding(by)) - 1)
 
 
-def _numbered(df: DataFrame, price: str, by: Sequence[str]) -> DataFrame:
-    known = df.filter(F.col(price).isNotNull())
-    return known.withColumn("_back", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("date").desc())))
+def numbered_back(df: DataFrame, price: str, by: Sequence[str] = KEYS) -> DataFrame:
+    """Adds _back, the place from the end (from 1) among rows with a known price, which come first, and
+    _last, the date of the last of them."""
+    whole = Window.partitionBy(*by)
+    back = F.row_number().over(whole.orderBy(F.col(price).isNull(), F.col("date").desc()))
+    return df.withColumns({"_back": back, "_last": F.max(F.when(F.col(price).isNotNull(), F.col("date"))).over(whole)})
 
 
 def at_back(price: str, n: int) -> Column:
-    """The n-th known price from the end (0 is the last), over a numbered table."""
+    """Aggregate over a numbered table: the n-th known price from the end (0 is the last)."""
     return F.max(F.when(F.col("_back") == n + 1, F.col(price)))
 
 
 def period_return(df: DataFrame, n: int, price: str = "adj_close", by: Sequence[str] = KEYS) -> DataFrame:
     """Last price over the one n known prices earlier; NULL where there are not that many."""
-    return _numbered(df, price, by).groupBy(*by).agg(growth(at_back(price, 0), at_back(price, n)).alias("ret"))
+    return numbered_back(df, price, by).groupBy(*by).agg(growth(at_back(price, 0), at_back(price, n)).alias("ret"))
 
 
 def ytd(price: str) -> Column:
-    """Of a numbered table with _last (its last date): the last price over the last before its year, else
-    over the first of the year if there are two."""
+    """Aggregate over a numbered table: the last price over the last before its year, else over the first of
+    the year if there are two."""
     year = F.trunc(F.col("_last").cast("date"), "year").cast("timestamp_ntz")
-    t = F.col("date").cast("timestamp_ntz")
-    earlier = F.max_by(F.when(t < year, F.col(price)), F.when(t < year, t))
-    here = F.when(t >= year, F.col(price))
-    first = F.when(F.count(here) >= 2, F.min_by(here, F.when(t >= year, t)))
+    t = F.when(F.col(price).isNotNull(), F.col("date").cast("timestamp_ntz"))
+    earlier = F.max_by(price, F.when(t < year, t))
+    here = F.when(t >= year, t)
+    first = F.when(F.count(here) >= 2, F.min_by(price, here))
     return growth(at_back(price, 0), F.coalesce(earlier, first))
 
 
+def trailing(price: str, horizons: Sequence[int] = (1, 5, 21)) -> list[Column]:
+    """Aggregates over a numbered table: ret_1, ret_5, ret_21 (one column a horizon) and ret_ytd."""
+    return [*(growth(at_back(price, 0), at_back(price, n)).alias(f"ret_{n}") for n in horizons), ytd(price).alias("ret_ytd")]
+
+
 def trailing_returns(df: DataFrame, price: str = "adj_close", horizons: Sequence[int] = (1, 5, 21), by: Sequence[str] = KEYS) -> DataFrame:
-    """ret_1, ret_5, ret_21 (one column a horizon) and ret_ytd per asset."""
-    rows = _numbered(df, price, by).withColumn("_last", F.max("date").over(Window.partitionBy(*by)))
-    return rows.groupBy(*by).agg(*(growth(at_back(price, 0), at_back(price, n)).alias(f"ret_{n}") for n in horizons), ytd(price).alias("ret_ytd"))
+    return numbered_back(df, price, by).groupBy(*by).agg(*trailing(price, horizons))
 
 
 def ytd_return(df: DataFrame, price: str = "adj_close", by: Sequence[str] = KEYS) -> DataFrame:

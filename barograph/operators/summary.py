@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
-from ..functions.windows import growth
+from ..functions.windows import expanding, growth
 from ..schema import with_label
 from .clean import add_returns, price_column
-from .drawdown import max_drawdown_stats
 from .indicators import rsi
-from .regime import BEARISH, BULLISH, current_regime, current_trend
-from .returns import at_back, trailing_returns
-from .volatility import realized_volatility
+from .regime import BEARISH, BULLISH, latest_regime, latest_trend, trend_series, with_regime
+from .returns import at_back, numbered_back, trailing, ytd
+from .volatility import numbered_returns, realized
 
 
 def percent(x: str | Column, digits: int = 2, signed: bool = False) -> Column:
@@ -38,13 +37,17 @@ def direction(x: str | Column) -> Column:
 
 def market_overview(bars: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
     """Per asset: price, ret_1, ret_5, ret_21, ret_ytd, vol_20d, trend, regime, and the asset's name if a
-    dimension is given."""
+    dimension is given. One pass: all windows and the aggregation share the asset's exchange."""
     p = price_column(bars)
     df = bars if "ret" in bars.columns else add_returns(bars)
-    out = df.groupBy("asset_key").agg(F.max_by(p, F.when(F.col(p).isNotNull(), F.col("date"))).alias("price"))
-    out = out.join(trailing_returns(df, p), "asset_key", "left")
-    out = out.join(realized_volatility(df, CONFIG.analysis.vol_short).withColumnRenamed("vol", "vol_20d"), "asset_key", "left")
-    out = out.join(current_trend(df, p), "asset_key", "left").join(current_regime(df), "asset_key", "left")
+    df = numbered_returns(numbered_back(with_regime(trend_series(df, p)), p))
+    out = df.groupBy("asset_key").agg(
+        at_back(p, 0).alias("price"),
+        *trailing(p),
+        realized(CONFIG.analysis.vol_short).alias("vol_20d"),
+        latest_trend(p).alias("trend"),
+        latest_regime().alias("regime"),
+    )
     return with_label(out, dimension) if dimension is not None else out
 
 
@@ -69,14 +72,20 @@ def sparkline(bars: DataFrame, width: float = 260.0, height: float = 64.0) -> Da
 
 def snapshot(bars: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
     """Per asset: trend, regime, rsi, ret_ytd, max_drawdown, current_drawdown, vol_20d, and observations,
-    up to five sentences on them."""
+    up to five sentences on them. One pass, like the overview."""
     p = price_column(bars)
     df = bars if "ret" in bars.columns else add_returns(bars)
-    last_rsi = rsi(df, price=p).groupBy("asset_key").agg(F.max_by("rsi", "date").alias("rsi"))
-    out = current_trend(df, p).join(current_regime(df), "asset_key").join(last_rsi, "asset_key", "left")
-    out = out.join(trailing_returns(df, p, ()), "asset_key", "left")
-    out = out.join(max_drawdown_stats(df, p).select("asset_key", "max_drawdown", "current_drawdown"), "asset_key", "left")
-    out = out.join(realized_volatility(df, CONFIG.analysis.vol_short).withColumnRenamed("vol", "vol_20d"), "asset_key", "left")
+    df = numbered_returns(numbered_back(with_regime(trend_series(rsi(df, price=p), p)), p))
+    df = df.withColumn("_dd", growth(p, F.max(p).over(expanding())))
+    out = df.groupBy("asset_key").agg(
+        latest_trend(p).alias("trend"),
+        latest_regime().alias("regime"),
+        F.max_by("rsi", "date").alias("rsi"),
+        ytd(p).alias("ret_ytd"),
+        F.min("_dd").alias("max_drawdown"),
+        F.max_by("_dd", F.when(F.col("_dd").isNotNull(), F.col("date"))).alias("current_drawdown"),
+        realized(CONFIG.analysis.vol_short).alias("vol_20d"),
+    )
     if dimension is not None:
         out = with_label(out, dimension)
     name = F.col("name") if dimension is not None else F.col("asset_key")

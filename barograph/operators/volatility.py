@@ -28,11 +28,20 @@ def annualized_volatility(df: DataFrame, ret: str = "ret", by: Sequence[str] = K
     return df.groupBy(*by).agg(annualized(ret, td).alias("vol"))
 
 
+def numbered_returns(df: DataFrame, ret: str = "ret", by: Sequence[str] = KEYS) -> DataFrame:
+    """Adds _ret_back, the place from the end among known returns, which come first."""
+    return df.withColumn("_ret_back", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(ret).isNull(), F.col("date").desc())))
+
+
+def realized(window: int, ret: str = "ret", td: int = TD) -> Column:
+    """Aggregate over numbered returns: the annual deviation of the last `window` known ones, NULL if fewer."""
+    newest = F.when(F.col("_ret_back") <= window, F.col(ret))
+    return F.when(F.count(newest) == window, F.stddev_samp(newest) * td**0.5)
+
+
 def realized_volatility(df: DataFrame, window: int, ret: str = "ret", by: Sequence[str] = KEYS, td: int = TD) -> DataFrame:
     """vol of the last `window` known returns of each asset."""
-    known = df.filter(F.col(ret).isNotNull())
-    newest = known.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("date").desc()))).filter(F.col("_k") <= window)
-    return df.select(*by).distinct().join(newest.groupBy(*by).agg(F.when(F.count("*") == window, annualized(ret, td)).alias("vol")), list(by), "left")
+    return numbered_returns(df, ret, by).groupBy(*by).agg(realized(window, ret, td).alias("vol"))
 
 
 def volatility_frame(df: DataFrame, ret: str = "ret", by: Sequence[str] = KEYS) -> DataFrame:

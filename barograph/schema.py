@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,20 @@ class DataUnavailableError(RuntimeError):
     """No source had the requested bars."""
 
 
-def assets(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, ASSETS)
+#: The default assets in display order.
+DEFAULT_ASSETS = (
+    ("SP500", "S&P 500", "^GSPC", "Equity Index", "USD", "US", "SPX"),
+    ("NASDAQ100", "Nasdaq-100", "^NDX", "Equity Index", "USD", "US", "NDX"),
+    ("NIFTY50", "NIFTY 50", "^NSEI", "Equity Index", "INR", "India", "NIFTY"),
+    ("GOLD", "Gold", "GC=F", "Commodity", "USD", "Global", "XAU"),
+    ("CRUDE", "Crude Oil (WTI)", "CL=F", "Commodity", "USD", "Global", "WTI"),
+    ("USDINR", "USD/INR", "USDINR=X", "FX", "INR", "India", "USDINR"),
+)
+
+
+def assets(spark: SparkSession, rows: Sequence[tuple] = DEFAULT_ASSETS) -> DataFrame:
+    """The asset dimension; its order is the display order."""
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], ASSETS)
 
 
 def assets_by_class(dimension: DataFrame, asset_class: str) -> DataFrame:

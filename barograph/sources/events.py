@@ -68,3 +68,32 @@ def of_type(events: DataFrame, event: str | None = None) -> DataFrame:
 
 def event_types(events: DataFrame) -> DataFrame:
     return events.select("event").distinct().orderBy("event")
+
+
+class EventCalendar:
+    """A calendar kept as one CSV folder. It is edited by hand and small, so a change holds the rows in the
+    driver while the folder is written anew."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def load(self) -> DataFrame:
+        """The calendar, seeded with the FOMC days if there is none yet."""
+        try:
+            return read_events(self.spark, self.path)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        write_events(seed_events(self.spark), self.path)
+        return read_events(self.spark, self.path)
+
+    def _replace(self, events: DataFrame) -> DataFrame:
+        held = self.spark.createDataFrame(events.select(*COLUMNS).collect(), EVENTS)
+        write_events(held, self.path)
+        return read_events(self.spark, self.path)
+
+    def add(self, row: tuple) -> DataFrame:
+        return self._replace(add_event(self.load(), row))
+
+    def upload(self, uploaded: DataFrame, replace: bool = False) -> DataFrame:
+        return self._replace(import_events(self.load(), uploaded, replace))

@@ -12,6 +12,7 @@ from barograph.functions.recursive import ewm
 from barograph.functions.windows import correlation as corr_of
 from barograph.operators import backtest as bt
 from barograph.operators import clean, correlation, drawdown, eventstudy, indicators, regime, returns, summary, volatility
+from barograph import schema
 from barograph.schema import DataUnavailableError, DataValidationError
 from barograph.sources import bars as src
 from barograph.sources import events as cal
@@ -366,6 +367,29 @@ def test_streamed_bars_equal_batch(spark, sf_dir, tmp_path):
     assert done.exceptAll(batch).count() == 0
 
 
+def test_asset_dimension(spark, bars):
+    dimension = schema.assets(spark)
+    assert [r["asset_key"] for r in schema.asset_keys(dimension).collect()][:2] == ["SP500", "NASDAQ100"]
+    assert schema.assets_by_class(dimension, "Commodity").count() == 2
+    rows = {r["asset_key"]: r for r in summary.market_overview(bars({"GOLD": WALK, "X": [None, 1, 2]}), dimension).collect()}
+    assert rows["GOLD"]["name"] == "Gold" and rows["X"]["name"] == "X" and rows["X"]["regime"] == "Unknown" and rows["X"]["ret_1"] == near(1)
+
+
+def test_calendar_store(spark, tmp_path):
+    store = cal.EventCalendar(spark, f"file://{tmp_path}/calendar")
+    assert store.load().count() == 28
+    assert store.add((dt.date(2026, 1, 2), "US", "US CPI", None, None, None)).count() == 29
+    assert store.upload(spark.createDataFrame([("2026-01-02", "US", "US CPI")], "date string, country string, event string")).count() == 29
+
+
+def test_one_exchange_of_bars(spark, sf_dir):
+    from barograph.plans import catalogue
+
+    for name in ("market_overview", "snapshot"):
+        plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(asset_key") == 1, name
+
+
 def test_overview_plan_has_few_shuffles_of_bars(spark, sf_dir):
     from barograph.plans import catalogue
 
