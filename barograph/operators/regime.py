@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import CONFIG, KEYS
-from ..functions.windows import expanding, gate, rolling
+from ..functions.windows import gate, rolling
 from .volatility import TD, rolling_volatility
 
 LOW, NORMAL, HIGH = "Low", "Normal", "High"
@@ -18,13 +20,21 @@ BULLISH, NEUTRAL, BEARISH = "Bullish", "Neutral", "Bearish"
 def with_regime(df: DataFrame, ret: str = "ret", vol_window: int | None = None, low: float | None = None, high: float | None = None, by: Sequence[str] = KEYS) -> DataFrame:
     """Adds vol (rolling), low_threshold, high_threshold (exact expanding quantiles, NULL until vol_window
     volatilities are known) and regime. High goes before Low where both hold; without thresholds the
-    regime is Normal, without a volatility NULL."""
+    regime is Normal, without a volatility NULL.
+
+    The quantiles come from a sorted structure that grows by a row at a time (pandas), one asset at a time;
+    Spark's exact percentile would sort the whole past again for every row."""
     a = CONFIG.analysis.regime
     n, low, high = vol_window or a[2], a[0] if low is None else low, a[1] if high is None else high
     df = df.withColumn("vol", rolling_volatility(n, ret, by=by))
-    seen = F.count("vol").over(expanding(by)) >= n
-    quantiles = F.percentile("vol", F.array(F.lit(low), F.lit(high))).over(expanding(by))
-    df = df.withColumn("_q", F.when(seen, quantiles)).withColumns({"low_threshold": F.col("_q")[0], "high_threshold": F.col("_q")[1]}).drop("_q")
+    schema = StructType([*df.schema.fields, StructField("low_threshold", DoubleType()), StructField("high_threshold", DoubleType())])
+
+    def thresholds(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        known = rows["vol"].dropna().expanding(n)
+        return rows.assign(low_threshold=known.quantile(low), high_threshold=known.quantile(high))
+
+    df = df.groupBy(*by).applyInPandas(thresholds, schema)
     v, lo, hi = (F.round(c, 12) for c in ("vol", "low_threshold", "high_threshold"))  # ties up to rounding
     return df.withColumn("regime", F.when(v >= hi, HIGH).when(v <= lo, LOW).when(v.isNotNull(), NORMAL))
 

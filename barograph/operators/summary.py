@@ -37,10 +37,11 @@ def direction(x: str | Column) -> Column:
 
 def market_overview(bars: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
     """Per asset: price, ret_1, ret_5, ret_21, ret_ytd, vol_20d, trend, regime, and the asset's name if a
-    dimension is given. One pass: all windows and the aggregation share the asset's exchange."""
+    dimension is given. One pass: all windows and the thresholds share the asset's exchange;
+    after it only partial aggregates move."""
     p = price_column(bars)
     df = bars if "ret" in bars.columns else add_returns(bars)
-    df = numbered_returns(numbered_back(with_regime(trend_series(df, p)), p))
+    df = with_regime(numbered_returns(numbered_back(trend_series(df, p), p)))
     out = df.groupBy("asset_key").agg(
         at_back(p, 0).alias("price"),
         *trailing(p),
@@ -75,8 +76,8 @@ def snapshot(bars: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
     up to five sentences on them. One pass, like the overview."""
     p = price_column(bars)
     df = bars if "ret" in bars.columns else add_returns(bars)
-    df = numbered_returns(numbered_back(with_regime(trend_series(rsi(df, price=p), p)), p))
-    df = df.withColumn("_dd", growth(p, F.max(p).over(expanding())))
+    df = numbered_returns(numbered_back(trend_series(rsi(df, price=p), p), p))
+    df = with_regime(df.withColumn("_dd", growth(p, F.max(p).over(expanding()))))
     out = df.groupBy("asset_key").agg(
         latest_trend(p).alias("trend"),
         latest_regime().alias("regime"),

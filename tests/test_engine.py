@@ -382,12 +382,13 @@ def test_calendar_store(spark, tmp_path):
     assert store.upload(spark.createDataFrame([("2026-01-02", "US", "US CPI")], "date string, country string, event string")).count() == 29
 
 
-def test_one_exchange_of_bars(spark, sf_dir):
+def test_one_exchange_of_bars_in_overviews(spark, sf_dir):
     from barograph.plans import catalogue
 
     for name in ("market_overview", "snapshot"):
         plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning(asset_key") == 1, name
+        assert plan.count("Exchange hashpartitioning(asset_key") == 2, name  # bars, then partial aggregates
+        assert plan.index("partial_") < plan.index("FlatMapGroupsIn"), name
 
 
 def test_overview_plan_has_few_shuffles_of_bars(spark, sf_dir):
