@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-WEIGHTS, SHARE, MOST, TILT, BINS = (5, 2, 1), 1.5, 2, 0.25, 65536
+WEIGHTS, SHARE, MOST, TILT, BINS = (5, 2, 1), 1.5, 2, 0.25, 2048
 #: Rows of a plan up to which it is broadcast; longer plans are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
