@@ -258,7 +258,7 @@ def test_costs_metrics_and_tables(spark, bars):
     always = bars(WALK, signal=[1.0] * 700)
     free, dear = (bt.run_backtest(always, None, costs=c) for c in (bt.CostModel(0, 0), bt.CostModel(50, 0)))
     last = lambda d, c: d.orderBy(F.col("date").desc()).first()[c]
-    assert last(free, "equity") == near(100_000 * WALK[-1] / WALK[1]) and last(dear, "equity") < last(free, "equity")
+    assert last(free, "equity") == near(100_000 * WALK[-1] / WALK[0]) and last(dear, "equity") < last(free, "equity")
     assert bt.CostModel().fraction == near(0.0007)
     bundle = bt.metrics_bundle(dear)
     rows = {r["kind"]: r for r in bundle.collect()}
