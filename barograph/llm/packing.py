@@ -36,7 +36,7 @@ def cut(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity
         encode, end, part, seq, step = encoder(path), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0, 4 * capacity
         for batch in batches:
             ids, column = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in slices(column):
+            for a, b in slices(column, 4_000_000):
                 out = []
                 for doc_id, coded in zip(ids[a:b], encode(column[a:b]), strict=True):
                     coded += end

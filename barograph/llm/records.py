@@ -86,7 +86,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
         encode, end = encoder(vocabulary), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             ids, column = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in slices(column):
+            for a, b in slices(column, 4_000_000):
                 out = [frame(encode_body(i, x + end)) for i, x in zip(ids[a:b], encode(column[a:b]), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
