@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
@@ -74,10 +74,10 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def grouped(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
-    """doc_id, h, fp, component_id, keep: stored fingerprints with their groups.
+    """doc_id, h, fp, component_id, keep_h: stored fingerprints with their groups.
 
     component_id is the smallest doc_id reachable over links (null only where no member has one);
-    (keep_id, keep_h) name the row that stands for the group: its smallest doc_id (null ids last), then
+    with keep_h it names the row that stands for the group: its smallest doc_id (null ids last), then
     the smallest text hash. A null text counts as empty; texts without words have fingerprint zero and link like
     any other; repeated rows share their fingerprint; other columns are ignored; an empty table
     gives no rows. Copies meet in one distinct fingerprint before any pair is looked for.
@@ -106,7 +106,5 @@ def deduplicate(docs: DataFrame, radius: int = 3) -> DataFrame:
     keep = materialize(grouped(docs, radius).select(F.col("component_id").alias("_id"), F.col("keep_h").alias("_h")).distinct(), "kept")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
     rows = rows.join(keep, rows["_doc"].eqNullSafe(keep["_id"]) & (rows["_hash"] == keep["_h"]), "left_semi")
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy(F.lit(0)))
     return rows.withColumn("_nth", nth).filter("_nth = 1").select("_row.*")
