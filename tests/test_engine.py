@@ -17,6 +17,7 @@ from barograph.schema import DataUnavailableError, DataValidationError
 from barograph.sources import bars as src
 from barograph.sources import events as cal
 from barograph.streaming import bars as streaming
+from barograph.streaming.indicators import stream_ema
 
 near = lambda x: pytest.approx(x, rel=1e-9, abs=1e-9)
 RNG = np.random.default_rng(3)
@@ -367,6 +368,19 @@ def test_streamed_bars_equal_batch(spark, sf_dir, tmp_path):
     assert done.exceptAll(batch).count() == 0
 
 
+def test_streamed_ema_equals_batch(spark, bars, tmp_path):
+    df = bars({"A": WALK[:60], "B": WALK[100:160]}).select("asset_key", F.col("date").cast("timestamp").alias("date"), "close")
+    days = [r["date"] for r in df.select("date").distinct().orderBy("date").collect()]
+    for k in range(3):  # a file a batch; the last repeats ten days
+        part = df.filter(F.col("date").between(days[max(0, 20 * k - 10 * (k == 2))], days[20 * k + 19]))
+        part.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    streaming.write_bars(stream_ema(stream, 5), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
+    got = {(r["asset_key"], r["date"]): r["ema"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    want = {(r["asset_key"], r["date"]): r["ema"] for r in indicators.ema(df, 5, "close").collect()}
+    assert got.keys() == want.keys() and all(got[k] == (None if want[k] is None else near(want[k])) for k in want)
+
+
 def test_asset_dimension(spark, bars):
     dimension = schema.assets(spark)
     assert [r["asset_key"] for r in schema.asset_keys(dimension).collect()][:2] == ["SP500", "NASDAQ100"]
