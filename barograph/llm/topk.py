@@ -102,7 +102,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = PIV
 
     Fewer candidates give fewer rows; vectors of different lengths are compared as if filled up
     with zeros; empty tables give no rows; rows repeated with one id count once. Only the pivots
-    (n_pivots vectors, the farthest-first choice from at most 2000 with the smallest hashes) and
+    (n_pivots vectors, the farthest-first choice from at most 2000 that a hash of the ids picks) and
     n_pivots * annuli counts reach the driver.
     """
     spark = vectors.sparkSession
@@ -110,13 +110,14 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = PIV
     queries = queries.filter("id is not null").groupBy("id").agg(F.min("v").alias("v"))
     schema = "query long, rank int, id long, score long"
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    size = vectors.agg(F.max(F.size("v")), F.max(square)).first()
+    size = vectors.agg(F.max(F.size("v")), F.max(square), F.count("*")).first()
     if size[0] is None:
         return spark.createDataFrame([], schema)
     dim = max(1, size[0], queries.agg(F.max(F.size("v"))).first()[0] or 0)
     longest = float(np.sqrt(size[1]))
-    sample = np.zeros((0, dim + 1))
-    rows = [r["v"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(2000).select("v").collect()]
+    few = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(size[2])) < 2000)
+    rows = [r["v"] for r in few.orderBy(F.xxhash64("id"), "id").limit(2000).select("v").collect()]
+    rows = rows or [vectors.first()["v"]]
     sample = np.array([list(v) + [0] * (dim - len(v)) for v in rows], float)
     sample = np.hstack([sample, np.sqrt(np.maximum(0.0, longest**2 - (sample**2).sum(1)))[:, None]])
     chosen, gap = [0], ((sample - sample[0]) ** 2).sum(1)
