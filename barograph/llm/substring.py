@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-LEAST, BITS, WINDOW, MOST_WORDS = 25, 2, 3, 128
+LEAST, BITS, WINDOW, MOST_WORDS = 25, 2, 3, 12
 #: Documents with removals up to which their spans are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _SPACE = np.zeros(256, bool)
