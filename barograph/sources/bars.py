@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Sequence
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,20 +64,19 @@ class SnapshotStore:
         return f"{self.root}/{file_key(ticker)}_{start}_{end}_{interval}"
 
     def read(self, path: str) -> DataFrame | None:
+        return self._stored(f"{path}/bars")
+
+    def _stored(self, path: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(f"{path}/bars")
-        except Exception as e:  # the folder may not exist yet
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return self.spark.read.parquet(path)
+        except AnalysisException as e:  # the folder may not exist yet
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
 
     def age_hours(self, path: str) -> float | None:
-        try:
-            written = self.spark.read.parquet(f"{path}/written").agg(F.max("at")).first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
+        kept = self._stored(f"{path}/written")
+        written = None if kept is None else kept.agg(F.max("at")).first()[0]
         return None if written is None else (self.clock() - written) / 3600
 
     def is_fresh(self, path: str) -> bool:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,8 +82,8 @@ class EventCalendar:
         """The calendar, seeded with the FOMC days if there is none yet."""
         try:
             return read_events(self.spark, self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
         write_events(seed_events(self.spark), self.path)
         return read_events(self.spark, self.path)
