@@ -87,12 +87,13 @@ class WordEncoder:
     def pieces(self, words: pa.Array) -> pa.Array:
         """Two strings a word: its letters in lower case and its trailing marks, or the whole word and
         nothing. Letters outside ASCII stay as they are, and count only if lower case leaves them
-        letters, one for one, and if they are below U+0300, where nothing is to be composed."""
+        letters, one for one (U+0130 becomes two), and if they are below U+0300, where nothing is to be
+        composed."""
         core = pc.ascii_rtrim(words, _TAIL)
         low = pc.utf8_lower(core)
         letters = pc.and_(pc.utf8_is_alpha(core), pc.utf8_is_alpha(low))
         letters = pc.and_(letters, pc.equal(pc.utf8_length(low), pc.utf8_length(core)))
-        letters = pc.and_not(letters, pc.match_substring_regex(core, r"[^\x{0}-\x{2ff}]")).to_numpy(zero_copy_only=False) & self.plain
+        letters = pc.and_not(letters, pc.match_substring_regex(core, r"[^\x{0}-\x{2ff}]|\x{130}")).to_numpy(zero_copy_only=False) & self.plain
         words = pa.concat_arrays([words])  # offsets from 0
         offsets = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
         cut = np.where(letters, offsets[:-1] + pc.binary_length(core).to_numpy(), offsets[1:])
