@@ -66,13 +66,18 @@ class Rules:
         return 1.0 / (1.0 + F.exp(-total))
 
 
+def leaf_rows(n: int) -> int:
+    """Rows that a side of a split has at least, of n in all: 15, and in proportion below 40 rows."""
+    return min(15, n * 15 // 40)
+
+
 def grow(binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.ndarray, depth: int) -> tuple[list, np.ndarray]:
     """One tree of Newton steps: its paths as rules, and its prediction for every row."""
-    paths, out = [], np.zeros(len(grad))
+    paths, out, least = [], np.zeros(len(grad)), leaf_rows(len(grad))
 
     def split(rows: np.ndarray, rule: tuple, left: int) -> None:
         out[rows] = -grad[rows].sum() / (hess[rows].sum() + 1.0)
-        if not left or len(rows) < 40:
+        if not left or len(rows) < min(40, len(grad)):
             return
         best = (1e-3, None, None)
         g, h = grad[rows].sum(), hess[rows].sum()
@@ -82,7 +87,7 @@ def grow(binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np
             hl = np.cumsum(np.bincount(code, hess[rows], len(edges[f]) + 1))[:-1]
             n = np.cumsum(np.bincount(code, minlength=len(edges[f]) + 1))[:-1]
             gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
-            gain[(n < 15) | (n > len(rows) - 15)] = -1
+            gain[(n < least) | (n > len(rows) - least)] = -1
             if len(gain) and gain.max() > best[0]:
                 best = (gain.max(), f, int(gain.argmax()))
         if best[1] is None:
@@ -127,11 +132,11 @@ def lasso(hit: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> t
 
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY) -> Rules:
-    """Rules from statistics x (rows by names) and labels y (0 or 1). One label only, or no rows, gives a
-    constant score."""
+    """Rules from statistics x (rows by names) and labels y (0 or 1). One label only, or fewer than 8 rows,
+    gives a constant score without rules."""
     mean = float(y.mean()) if len(y) else 0.5
     constant = Rules(names, [], [], float(np.log((mean + 1e-3) / (1 - mean + 1e-3))))
-    if len(y) < 40 or mean in (0.0, 1.0):
+    if leaf_rows(len(y)) < 3 or mean in (0.0, 1.0):
         return constant
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], 1)
@@ -187,6 +192,10 @@ def report(docs: DataFrame, labels: DataFrame, part: int = 0) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects."""
+    """docs without those that the classifier rejects. Where no rule could be fitted (one label only, too few
+    labels), nothing tells documents apart, and all are kept."""
+    rules = train(docs, labels)
+    if not rules.rules:
+        return docs
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    return scored(rows, train(docs, labels)).filter(F.col("_score") >= KEEP_AT).select("_row.*")
+    return scored(rows, rules).filter(F.col("_score") >= KEEP_AT).select("_row.*")
