@@ -20,9 +20,7 @@ from pyspark.sql import functions as F
 from .common import held_out, materialize, slices
 
 #: Words with a symbol of their own, classes of the others, states, rounds over all training texts.
-WORDS, CLASSES, STATES, ROUNDS = 20_000, 64, 8, 2
-#: The starting point of training: texts, symbols of each and rounds over them.
-START_TEXTS, START_LENGTH, START_ROUNDS = 600, 400, 15
+WORDS, CLASSES, STATES, ROUNDS = 20_000, 64, 8, 17
 #: Weight of the corpus's own distribution in every state's.
 PRIOR = 200.0
 
@@ -103,8 +101,8 @@ class Model:
         return Model((first + 1) / (first.sum() + k), (moves + 1) / (moves.sum(1, keepdims=True) + k), (emits + PRIOR * shares[:, None]) / (emits.sum(0) + PRIOR))
 
 
-def starting_model(texts: list[np.ndarray], shares: np.ndarray, states: int = STATES, rounds: int = START_ROUNDS, seed: int = 5) -> Model:
-    """Noise on the corpus's distribution, then Baum-Welch over a bounded sample: only where training starts."""
+def starting_model(texts: list[np.ndarray], shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = 5) -> Model:
+    """Noise on the corpus's distribution, then Baum-Welch over texts, if any are given."""
     rng = np.random.default_rng(seed)
     emit = shares[:, None] * rng.uniform(0.2, 1.8, (len(shares), states))
     move = np.full((states, states), 0.1 / states) + np.eye(states) * 0.9
@@ -187,13 +185,12 @@ def sequences(batch: pa.RecordBatch, name: str = "symbols") -> list[np.ndarray]:
     return [np.frombuffer(x, "<u2") for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def train(texts: DataFrame, n_texts: int, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all rows of texts (symbols), each round one pass: partitions emit their expected
-    counts by symbol, Spark adds them up, and the driver gets a row per symbol."""
+def train(texts: DataFrame, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch from noise on the corpus's distribution, over all rows of texts (symbols) whole. Each round is
+    one pass: partitions emit their expected counts by symbol, Spark adds them up, and the driver gets a
+    row per symbol."""
     spark, k = texts.sparkSession, states
-    picked = texts.select(F.col("symbols").substr(1, 2 * START_LENGTH).alias("symbols"), F.xxhash64("symbols", "part", "seq").alias("h"))
-    picked = picked.filter(F.pmod("h", F.lit(max(1, n_texts))) < START_TEXTS).orderBy("h").limit(START_TEXTS).collect()  # the filter leaves about as many
-    model = starting_model([np.frombuffer(bytes(r["symbols"]), "<u2") for r in picked], shares, states)
+    model = starting_model([], shares, states)
     names = [f"s{i}" for i in range(k)]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
@@ -251,7 +248,7 @@ def score(docs: DataFrame, part: int = 1, parts: int = 5, states: int = STATES,
     shares = np.concatenate([c, in_class]) + 0.5
     shares /= shares.sum()
     table = materialize(coded(rows, symbols, np.log10((c + 0.5) / base), base, (c > 0).astype(np.int64)), "coded")
-    model = train(table.filter("not held_out").select("symbols", "part", "seq"), n_train, shares, states, rounds)
+    model = train(table.filter("not held_out").select("symbols"), shares, states, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "held_out", "part", "seq", "n_tokens", "known", "logs"]
 
