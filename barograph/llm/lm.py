@@ -3,17 +3,18 @@
 Symbols are the most frequent words, the end of a text, and classes of the remaining words by their
 last letters; a rare word's probability is its class's, from the states, times its share of the
 class, from counts of all training words. Training counts are made per partition and added up by
-symbol in Spark, so nothing but the model (symbols by states, a fixed bound) reaches the driver.
+symbol in Spark, so nothing but the model (symbols by states, a fixed bound) and the KNOWN most
+frequent words reach the driver. Counts of further words are joined to the texts that hold them.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +22,46 @@ from .common import held_out, materialize, slices
 
 #: Words with a symbol of their own, classes of the others, states, rounds over all training texts.
 WORDS, CLASSES, STATES, ROUNDS = 20_000, 64, 8, 17
-#: Weight of the corpus's own distribution in every state's.
-PRIOR = 200.0
+#: Words whose counts are sent to every task; those of all others are joined.
+KNOWN = 300_000
+#: Weight of the corpus's own distribution in every state's, and its least share.
+PRIOR, FLOOR = 200.0, 1e-5
+#: Training reads longer texts in stretches of so many symbols, with so many more on either side that lead the
+#: recursions in and out but are not counted.
+STRETCH, HALO = 1024, 64
+#: Symbols that a task holds at once.
+HELD = 2_000_000
+
+
+def class_of(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % CLASSES
 
 
 def words_of(text: str | None) -> list[bytes]:
+    """The definition of a text's words; see `split` for many texts."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % CLASSES
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of a column of texts: the distinct ones (binary), each token's place among them, and
+    each token's text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    offsets = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    tokens, owner = coded.indices.to_numpy(), np.repeat(np.arange(len(lists)), np.diff(offsets))
+    void = pc.index(coded.dictionary, "").as_py()  # beside leading and trailing white space
+    if void >= 0:
+        keep = tokens != void
+        tokens, owner = tokens[keep], owner[keep]
+    return coded.dictionary.cast(pa.binary()), tokens, owner
+
+
+def by_time(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sequences of these lengths (longest first) laid out time by time: how many reach each time, and
+    each symbol's place and time."""
+    alive = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+    time = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return alive, (np.cumsum(alive) - alive)[time] + np.repeat(np.arange(len(lengths)), lengths), time
 
 
 @dataclass
@@ -39,66 +70,129 @@ class Model:
     move: np.ndarray
     emit: np.ndarray  # symbols x states
 
-    def batches(self, texts: list[np.ndarray], most: int = 300_000):
-        """Texts sorted by length, longest first, in groups of at most `most` symbols, each laid out by
-        time: (indexes, symbols, counts by time)."""
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        at = 0
-        while at < len(order):
-            n, size = at, 0
-            while n < len(order) and (n == at or size + len(texts[order[n]]) <= most):
-                size += len(texts[order[n]])
-                n += 1
-            own = order[at:n]
-            lengths = np.array([len(texts[i]) for i in own])
-            flat = np.concatenate([texts[i] for i in own]).astype(np.int64)
-            time = np.concatenate([np.arange(x) for x in lengths])
-            alive = np.bincount(time)
-            yield own, flat[np.argsort(time, kind="stable")], alive
-            at = n
-
-    def forward(self, symbols: np.ndarray, alive: np.ndarray):
-        """Scaled forward recursion: states' probabilities after each symbol, and the scales."""
-        e = self.emit[symbols]
-        alpha, scale = np.empty_like(e), np.empty(len(symbols))
-        now, at = None, 0
-        for n in alive.tolist():
-            now = e[at : at + n] * (self.start if now is None else now[:n] @ self.move)
-            c = now.sum(1)
-            now /= c[:, None]
-            alpha[at : at + n], scale[at : at + n] = now, c
-            at += n
-        return e, alpha, scale
-
     def log10(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Exact probabilities by the scaled forward recursion over whole texts (none of them empty)."""
         out = np.zeros(len(texts))
-        for own, symbols, alive in self.batches(texts):
-            logs = np.log10(self.forward(symbols, alive)[2])
-            column = np.concatenate([np.arange(n) for n in alive.tolist()])
-            out[own] = np.bincount(column, weights=logs, minlength=len(own))
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(-lengths, kind="stable")
+        at = 0
+        while at < len(order):
+            to = at + max(1, int(np.searchsorted(np.cumsum(lengths[order[at:]]), HELD, side="right")))
+            own, at = order[at:to], to
+            alive, place, _ = by_time(lengths[own])
+            symbols = np.empty(len(place), np.int32)
+            symbols[place] = np.concatenate([texts[i] for i in own])
+            logs, now, e, edge, seen = np.zeros(len(own)), None, None, 0, 0
+            alive = [*alive.tolist(), 0]
+            for t, n in enumerate(alive[:-1]):
+                if seen + n > edge:  # emissions of the next times
+                    first, edge = seen, min(len(symbols), seen + max(n, 65_536))
+                    e = np.take(self.emit, symbols[first:edge], 0)
+                now = (self.start if now is None else np.dot(now[:n], self.move)) * e[seen - first : seen - first + n]
+                seen += n
+                if t % 8 == 7:
+                    scale = now.sum(1)
+                    logs[:n] += np.log10(scale)
+                    now /= scale[:, None]
+                if alive[t + 1] < n:
+                    logs[alive[t + 1] : n] += np.log10(now[alive[t + 1] :].sum(1))
+            out[own] = logs
         return out
 
-    def expected(self, texts: list[np.ndarray]):
-        """Baum-Welch counts of texts: of first states, moves, and emissions."""
-        first, moves, emits = np.zeros_like(self.start), np.zeros_like(self.move), np.zeros_like(self.emit)
-        for _, symbols, alive in self.batches(texts):
-            e, alpha, scale = self.forward(symbols, alive)
-            beta = np.ones_like(alpha)
-            ends = np.cumsum(alive)
-            for t in range(len(alive) - 2, -1, -1):
-                a, b, c = ends[t] - alive[t], ends[t], ends[t + 1]
-                w = e[b:c] * beta[b:c] / scale[b:c, None]
-                beta[a : a + c - b] = w @ self.move.T
-                moves += alpha[a : a + c - b].T @ w
-            beta *= alpha
-            first += beta[: alive[0]].sum(0)
-            for k in range(beta.shape[1]):
-                emits[:, k] += np.bincount(symbols, weights=beta[:, k], minlength=len(emits))
-        return first, moves * self.move, emits
+    def expected(self, texts: list[np.ndarray], shares: np.ndarray | None = None, kind=np.float64, most: int = 400_000):
+        """Baum-Welch counts of texts: of first states, moves, and emissions.
+
+        Emissions are taken relative to shares (of the symbols), which changes no count and keeps
+        numbers near 1, so a scale every fourth symbol is enough, in single precision too."""
+        k, lengths = len(self.start), np.fromiter(map(len, texts), np.int64, len(texts))
+        first, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(self.emit)))
+        if not lengths.sum():
+            return first, moves, emits.T
+        flat, end = np.concatenate(texts), np.cumsum(lengths)
+        cuts = -(-lengths // STRETCH)
+        owner = np.repeat(np.arange(len(texts)), cuts)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        a = (end - lengths)[owner] + nth * STRETCH  # what is counted
+        b = np.minimum(a + STRETCH, end[owner])
+        lo, hi = a - np.where(nth > 0, HALO, 0), np.minimum(b + HALO, end[owner])
+        order = np.argsort(lo - hi, kind="stable")
+        lo, hi, a, b, nth = (x[order] for x in (lo, hi, a, b, nth))
+        size = np.cumsum(hi - lo)
+        most = max(most, int(hi[0] - lo[0]))
+        ratio = (self.emit / (self.emit.mean(1) if shares is None else shares)[:, None]).astype(kind)
+        move = self.move.astype(kind)
+        usual = np.linalg.matrix_power(self.move, 4096).mean(0)
+        tables = ratio, move, np.ascontiguousarray(move.T)
+        room = [np.empty((min(most, size[-1]), k), kind) for _ in range(3)], np.empty((k, min(most, size[-1])))
+        at = 0
+        while at < len(lo):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+            s = slice(at, to)
+            begin = np.where(nth[s, None] == 0, self.start, usual).astype(kind)
+            alive, place, time = by_time(hi[s] - lo[s])
+            source = np.repeat(lo[s], hi[s] - lo[s]) + time
+            symbols = np.empty(len(source), np.int64)
+            symbols[place] = flat[source]
+            counted = None
+            if (lo[s] != a[s]).any() or (hi[s] != b[s]).any():
+                counted = np.empty(len(source), kind)
+                counted[place] = (source >= np.repeat(a[s], hi[s] - lo[s])) & (source < np.repeat(b[s], hi[s] - lo[s]))
+            gamma, total = recursions(symbols, alive, begin, counted, tables, room)
+            moves += total
+            first += gamma[:, : alive[0]][:, nth[s] == 0].sum(1)
+            for i in range(k):
+                emits[i] += np.bincount(symbols, weights=gamma[i], minlength=len(self.emit))
+            at = to
+        return first, moves * self.move, emits.T
 
     def updated(self, first, moves, emits, shares: np.ndarray) -> Model:
-        k = len(first)
-        return Model((first + 1) / (first.sum() + k), (moves + 1) / (moves.sum(1, keepdims=True) + k), (emits + PRIOR * shares[:, None]) / (emits.sum(0) + PRIOR))
+        k, total, prior = len(first), moves.sum(1, keepdims=True), PRIOR + FLOOR * emits.sum(0)
+        more = 1 + total * 1e-7
+        return Model((first + 1) / (first.sum() + k), (moves + more) / (total + k * more), (emits + prior * shares[:, None]) / (emits.sum(0) + prior))
+
+
+def recursions(symbols, alive, begin, counted, tables, room) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward over sequences laid out by time: every symbol's state probabilities (states x
+    symbols) and the sums of alpha x weighted beta that the moves are counted from. counted: 0 for symbols that
+    count nothing."""
+    (ratio, move, back), n = tables, len(symbols)
+    e, alpha, beta = (x[:n] for x in room[0])
+    np.take(ratio, symbols, 0, out=e, mode="clip")
+    ends, edge, scales = np.cumsum(alive).tolist(), set(), {}
+    if counted is not None:
+        edge = set(np.flatnonzero(np.minimum.reduceat(counted, np.cumsum(alive) - alive) == 0).tolist())
+    alive, ones = alive.tolist(), np.ones((ratio.shape[1], 1), ratio.dtype)
+    now = np.multiply(e[: alive[0]], begin, out=alpha[: alive[0]])
+    for t in range(1, len(alive)):
+        a, b = ends[t - 1], ends[t]
+        after = np.dot(now[: b - a], move, out=alpha[a:b])
+        np.multiply(after, e[a:b], out=after)
+        if t % 4 == 0:
+            scales[t] = 1 / np.dot(after, ones)
+            np.multiply(after, scales[t], out=after)
+        now = after
+    total, part, later, w = np.zeros(move.shape), np.empty(move.shape, move.dtype), 0, None
+    for t in range(len(alive) - 1, -1, -1):
+        a, b = ends[t] - alive[t], ends[t]
+        x, y = beta[a:b], alpha[a:b]
+        if later < alive[t]:  # these end here; from here on alpha and beta have product 1
+            x[later:] = 1 / np.dot(y[later:], ones)
+        if later:
+            np.dot(w, back, out=x[:later])
+            if t + 1 in edge:
+                w = w * counted[b : b + later, None]
+            total += np.dot(y[:later].T, w, out=part)
+        if t:
+            w = np.multiply(e[a:b], x, out=e[a:b])
+            if t in scales:
+                np.multiply(w, scales[t], out=w)
+        np.multiply(x, y, out=x)
+        if t in edge:
+            np.multiply(x, counted[a:b, None], out=x)
+        later = alive[t]
+    gamma = room[1][:, :n]
+    gamma[:] = beta.T
+    return gamma, total
 
 
 def starting_model(texts: list[np.ndarray], shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = 5) -> Model:
@@ -116,75 +210,126 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """word (binary), c of the column text; counted within tasks before the shuffle."""
 
     def run(batches):
-        seen: Counter = Counter()
+        held, size = [], 0
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        def added():
+            total = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            return pa.table({"word": total["word"], "n": total["n_sum"]})
 
         for batch in batches:
             texts = batch.column(0)
             for a, b in slices(texts):
-                for t in texts[a:b].to_pylist():
-                    seen.update(words_of(t))
-                if len(seen) > 300_000:
-                    yield out()
-                    seen = Counter()
-        if seen:
-            yield out()
+                words, tokens, _ = split(texts[a:b])
+                n = np.bincount(tokens, minlength=len(words))
+                held.append(pa.table({"word": words, "n": pa.array(n)}).filter(pa.array(n > 0)))
+                size += held[-1].num_rows
+                if size > 600_000:
+                    held = [added()]
+                    size = held[0].num_rows
+                    if size > 300_000:
+                        yield from held[0].combine_chunks().to_batches()
+                        held, size = [], 0
+        if held:
+            yield from added().combine_chunks().to_batches()
 
     return rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def frequent(counts: DataFrame, most: int = WORDS) -> DataFrame:
-    """The words with the highest counts, at most `most`. A histogram of the counts (exact below 4096, then
-    256 bins an octave) gives the lowest bin that still fits whole; words of one bin come or stay together."""
+def frequent(counts: DataFrame, most: int = KNOWN) -> pa.Table:
+    """word, c of the `most` words with the highest counts, highest first; ties by a hash of the word, then the word.
+
+    The words are never sorted as a whole: a histogram of the counts (exact below 4096, then 256 bins an
+    octave) gives the bin in which the last place falls; the counts of this bin and then a histogram
+    of the hashes of the words with the last count narrow it down to what is taken in order."""
     c = F.col("c").cast("double")
-    binned = counts.withColumn("bin", F.when(c < 4096, c).otherwise(F.floor(F.log2(c) * 256) + 4096 - 12 * 256).cast("int"))
-    least, held = None, 0
-    for r in sorted(binned.groupBy("bin").agg(F.count("*").alias("n")).collect(), reverse=True):
-        held += r["n"]
-        if held > most:
+    wide = F.when(c < 4096, c).otherwise(F.floor(F.log2(c) * 256) + 4096 - 12 * 256).cast("long")
+    rows = counts.select("word", "c", wide.alias("bin"), F.xxhash64("word").alias("h"))
+    rows, parts = rows.withColumn("cell", F.shiftrightunsigned("h", 52)), []
+    for key, upwards in (("bin", False), ("c", False), ("cell", True)):
+        last = None
+        for r in sorted(rows.groupBy(key).agg(F.count("*").alias("n")).collect(), key=lambda r: r[key] if upwards else -r[key]):
+            if r["n"] > most:
+                last = r[key]
+                break
+            most -= r["n"]
+        if last is None:
+            parts, rows = [*parts, rows], None
             break
-        least = r["bin"]
-    return binned.filter(F.col("bin") >= least if least is not None else F.lit(False)).select("word", "c")
+        parts.append(rows.filter(F.col(key) < last if upwards else F.col(key) > last))
+        rows = rows.filter(F.col(key) == last)
+    if rows is not None and most:
+        parts.append(rows.orderBy("h", "word").limit(most))
+    got = pa.concat_tables([p.select("word", "c", "h").toArrow() for p in parts])
+    return got.sort_by([("c", "descending"), ("h", "ascending"), ("word", "ascending")]).select(["word", "c"])
 
 
-def coded(rows: DataFrame, symbols: dict, logs: np.ndarray, base: float, known: np.ndarray) -> DataFrame:
-    """The texts as symbols (unsigned 16-bit), with what is known of their frequent words, and their rare
-    words by class: part and seq together are a row key."""
-    end = 0
+@dataclass
+class Vocabulary:
+    """What every task knows of the KNOWN words: their symbols, logarithms of their probabilities in the base
+    model and, for those without a symbol of their own, within their class."""
+
+    words: pa.Array
+    symbols: np.ndarray
+    logs: np.ndarray
+    within: np.ndarray
+    own: int
+    end_log: float
+    end_known: int
+
+
+def coded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The texts as symbols (unsigned 16-bit) with their end (0), the sums over their known words, and
+    their other words: part and seq together are a row key."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+    names = ["doc_id", "held_out", "part", "seq", "n_tokens", "known", "logs", "within", "symbols", "rare"]
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, v = TaskContext.get().partitionId(), 0, shared.value
         for batch in batches:
-            ids, held = (batch.column(i).to_pylist() for i in range(2))
             for a, b in slices(batch.column(2)):
-                out = []
-                for i, text in enumerate(batch.column(2)[a:b].to_pylist(), a):
-                    words = words_of(text)
-                    codes = [symbols.get(w, -1) for w in words]
-                    rare: Counter = Counter()
-                    if -1 in codes:
-                        rare.update(w for w, c in zip(words, codes, strict=True) if c < 0)
-                        codes = [c if c >= 0 else len(symbols) + 1 + class_of(w) for w, c in zip(words, codes, strict=True)]
-                    codes.append(end)
-                    codes = np.array(codes, "<u2")
-                    own = codes[codes <= len(symbols)]
-                    out.append((ids[i], held[i], part, seq, len(codes), int(known[own].sum()), float(logs[own].sum()), codes.tobytes(), [{"word": w, "class": class_of(w), "n": n} for w, n in rare.items()]))
-                    seq += 1
-                kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("class", pa.int32()), ("n", pa.int64())]))]
-                names = ["doc_id", "held_out", "part", "seq", "n_tokens", "known", "logs", "symbols", "rare"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, part int, seq long, n_tokens long, known long, logs double, symbols binary, rare array<struct<word binary, class int, n long>>")
+                n = b - a
+                words, tokens, owner = split(batch.column(2)[a:b])
+                at = pc.fill_null(pc.index_in(words, value_set=v.words), -1).to_numpy(zero_copy_only=False)
+                symbols = np.where(at >= 0, v.symbols[at], 0)
+                rest = np.flatnonzero(symbols == 0)
+                symbols[rest] = v.own + np.array([class_of(w) for w in words.take(pa.array(rest)).to_pylist()], np.int64)
+                counts = np.bincount(owner, minlength=n)
+                summed = lambda x: np.bincount(owner, weights=np.where(at >= 0, x, 0.0)[tokens], minlength=n)  # noqa: E731, B023
+                stops = np.cumsum(counts + 1)
+                flat = np.zeros(len(tokens) + n, "<u2")
+                flat[np.arange(len(tokens)) + owner] = symbols[tokens]
+                offsets = pa.py_buffer(np.append(0, 2 * stops).astype(np.int32))
+                strange = (at < 0)[tokens]
+                pairs, times = np.unique(owner[strange] * len(words) + tokens[strange], return_counts=True)
+                of, word = np.divmod(pairs, max(1, len(words)))
+                entries = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array((symbols[word] - v.own).astype(np.int32)), pa.array(times)], ["word", "class", "n"])
+                rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=n))).astype(np.int32)), entries)
+                cols = [
+                    batch.column(0)[a:b], batch.column(1)[a:b], np.full(n, part), np.arange(seq, seq + n), counts + 1,
+                    summed(np.ones(len(at))).astype(np.int64) + v.end_known, summed(v.logs[at]) + v.end_log, summed(v.within[at]),
+                    pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(flat)]),
+                ]
+                seq += n
+                yield pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), rare], names=names)
+
+    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, part int, seq long, n_tokens long, known long, logs double, within double, symbols binary, rare array<struct<word binary, class int, n long>>")
 
 
 def sequences(batch: pa.RecordBatch, name: str = "symbols") -> list[np.ndarray]:
     return [np.frombuffer(x, "<u2") for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def groups(batches, most: int = HELD):
+    """Batches cut into rows of at most `most` symbols together; a longer text is a group of its own."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index("symbols"))
+        for a, b in slices(column, 2 * most):
+            yield batch.slice(a, b - a)
+
+
 def train(texts: DataFrame, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
     """Baum-Welch from noise on the corpus's distribution, over all rows of texts (symbols) whole. Each round is
     one pass: partitions emit their expected counts by symbol, Spark adds them up, and the driver gets a
@@ -198,46 +343,46 @@ def train(texts: DataFrame, shares: np.ndarray, states: int = STATES, rounds: in
         def run(batches, shared=shared):
             now = shared.value
             total = [np.zeros_like(now.start), np.zeros_like(now.move), np.zeros_like(now.emit)]
-            for batch in batches:
-                for a in range(0, batch.num_rows, 2000):
-                    for x, y in zip(total, now.expected(sequences(batch.slice(a, 2000))), strict=True):
-                        x += y
+            for batch in groups(batches):
+                for x, y in zip(total, now.expected(sequences(batch), shares, np.float32), strict=True):
+                    x += y
             rows = np.vstack([total[2], total[1], total[0][None, :]])
             used = np.flatnonzero(rows.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(rows[used, i]) for i in range(k))], names=["row", *names])
 
-        added = texts.select("symbols").mapInArrow(run, "row long, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).collect()
+        added = texts.select("symbols").mapInArrow(run, "row long, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
         rows = np.zeros((len(shares) + k + 1, k))
-        for r in added:
-            rows[r["row"]] = [r[n] for n in names]
+        rows[added["row"].to_numpy()] = np.stack([added[n].to_numpy() for n in names], 1)
+        shared.unpersist()
         model = model.updated(rows[-1], rows[len(shares) : -1], rows[: len(shares)], shares)
     return model
 
 
-def score(docs: DataFrame, part: int = 1, parts: int = 5, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, part: int = 1, parts: int = 5, states: int = STATES, rounds: int = ROUNDS, most_known: int = KNOWN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Held out are the rows whose crc32(doc_id as text) mod parts is part (never those with a null
     id); the others train. A null text counts as empty and still has its end; repeated rows train
     and score as often as they occur; without training rows every token has probability 1 in the
-    base; other columns are ignored; an empty table gives no rows. Scores of equal texts are equal
-    up to rounding.
+    base; very long texts are scored by one recursion over all their words; other columns are
+    ignored; an empty table gives no rows. Scores of equal texts are equal up to rounding.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id"), part, parts))
     n_train = rows.select("held_out").filter("not held_out").count()
     counts = materialize(word_counts(rows.filter("not held_out")), "counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, kinds = (sums["n"] or 0) + n_train, sums["v"] + (n_train > 0)
-    top = sorted(frequent(counts).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
-    symbols = {bytes(r["word"]): i + 1 for i, r in enumerate(top)}
-    c = np.array([n_train, *(r["c"] for r in top)], float)
+    top = frequent(counts, most_known)
+    words, c = top["word"].combine_chunks(), top["c"].to_numpy().astype(float)
+    own = min(WORDS, len(words))
     base = total + 0.5 * (kinds + 1)
+    spellings = docs.sparkSession.sparkContext.broadcast(frozenset(words[:own].to_pylist()))
 
     def rest(batches):
         for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            keep = np.array([w not in symbols for w in words], bool)
-            of = np.array([class_of(w) for w in words], np.int32)
+            names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            keep = np.array([w not in spellings.value for w in names], bool)
+            of = np.array([class_of(w) for w in names], np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(of[keep]), pa.array(n[keep])], names=["class", "c"])
 
     classes = counts.mapInArrow(rest, "class int, c long").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
@@ -245,22 +390,27 @@ def score(docs: DataFrame, part: int = 1, parts: int = 5, states: int = STATES,
     for r in classes:
         in_class[r["class"]] = r["c"]
         mass[r["class"]] += r["c"] + 0.5 * r["v"]
-    shares = np.concatenate([c, in_class]) + 0.5
+    shares = np.concatenate([[n_train], c[:own], in_class]) + 0.5
     shares /= shares.sum()
-    table = materialize(coded(rows, symbols, np.log10((c + 0.5) / base), base, (c > 0).astype(np.int64)), "coded")
+    ranks = np.arange(len(words))
+    of = np.array([class_of(w) for w in words[own:].to_pylist()], np.int64)
+    within = np.concatenate([np.zeros(own), np.log10((c[own:] + 0.5) / mass[of])])
+    symbols = np.where(ranks < own, ranks + 1, 0)
+    # the entry at -1 stands for words that are not known
+    vocabulary = Vocabulary(words, np.append(symbols, 0), np.append(np.log10((c + 0.5) / base), 0.0), np.append(within, 0.0), own + 1, float(np.log10((n_train + 0.5) / base)), int(n_train > 0))
+    table = materialize(coded(rows, vocabulary), "coded")
     model = train(table.filter("not held_out").select("symbols"), shares, states, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", "held_out", "part", "seq", "n_tokens", "known", "logs"]
+    names = ["doc_id", "held_out", "part", "seq", "n_tokens", "known", "logs", "within"]
 
     def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                b = batch.slice(a, 2000)
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(shared.value.log10(sequences(b)))], names=[*names, "path"])
+        for b in groups(batches):
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(shared.value.log10(sequences(b)))], names=[*names, "path"])
 
-    main = table.select(*names, "symbols").mapInArrow(run, "doc_id long, held_out boolean, part int, seq long, n_tokens long, known long, logs double, path double")
+    main = table.select(*names, "symbols").mapInArrow(run, "doc_id long, held_out boolean, part int, seq long, n_tokens long, known long, logs double, within double, path double")
     rare = table.select("part", "seq", F.explode("rare").alias("r")).select("part", "seq", F.col("r.word").alias("w"), F.col("r.class").alias("class"), F.col("r.n").alias("n"))
-    rare = rare.join(counts, rare["w"] == counts["word"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    few = counts.filter(F.col("c") <= F.lit(int(c[-1]) if len(c) else 0))  # no other word is without a count by now
+    rare = rare.join(few, rare["w"] == few["word"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
     z = F.element_at(F.array(*[F.lit(float(x)) for x in mass]), F.col("class") + 1)
     rare = rare.groupBy("part", "seq").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
@@ -273,5 +423,5 @@ def score(docs: DataFrame, part: int = 1, parts: int = 5, states: int = STATES,
         (F.col("known") + none("rare_known")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + none("rare_logs")).alias("base_score"),
-        (F.col("path") + none("rare_path")).alias("score"),
+        (F.col("path") + F.col("within") + none("rare_path")).alias("score"),
     )
