@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of an Arrow batch that Spark hands to Python, at most (unless one row is longer).
+ARROW_BYTES = 4 << 20
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one temporary folder of this process."""
+    """The folder of spark.checkpoint.dir; where that is unset, and all tasks run in this process (tests), one
+    temporary folder of this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _own_dir[0]
@@ -33,6 +38,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -40,9 +46,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reachable(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes: 10,000 long texts in one batch would fill an executor's
+    memory outside its heap. A lower bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**31 - 1)).rstrip("bB")) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def ascii_lower(col):
     """Lower case for A-Z only."""
     return F.translate(col, _UPPER, _LOWER)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, slices
+from .common import new_path, slices, small_batches
 from .tokens import default_path, encoder
 
 MASK_DELTA = 0xA282EAD8
@@ -77,6 +77,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
     """Writes every document's ids and end id in ascending doc_id order (null ids first, equal ids by
     a hash of their text). Files hold about file_bytes of text each. A null text counts as empty;
     repeated rows are written as often as they occur; other columns are ignored."""
+    small_batches(docs.sparkSession)
     vocabulary = tokenizer or default_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
@@ -86,7 +87,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
         encode, end = encoder(vocabulary), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             ids, column = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in slices(column, 4_000_000):
+            for a, b in slices(column):
                 out = [frame(encode_body(i, x + end)) for i, x in zip(ids[a:b], encode(column[a:b]), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 

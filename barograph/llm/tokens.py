@@ -55,7 +55,7 @@ class WordEncoder:
     the words' ids can be told apart. Other words outside ASCII go one by one. When more than `most` pieces are known, only those of the batch at hand stay.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
