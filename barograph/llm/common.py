@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of bytes that are not ASCII white space.
@@ -44,6 +44,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: str, name: str = "numbered", partitions: int | None = None) -> DataFrame:
+    """df stored in the order of these columns with _part and _at, the row's place in its part; parts are consecutive
+    ranges. No window spans the table: `part_starts` gives what stands before each part."""
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    place = F.monotonically_increasing_id()
+    ranged = ranged.sortWithinPartitions(*order).withColumns({"_part": F.shiftright(place, 33).cast("int"), "_at": place.bitwiseAND(F.lit((1 << 33) - 1))})
+    return materialize(ranged, name)
+
+
+def part_starts(stored: DataFrame) -> DataFrame:
+    """_part, _before (rows of all parts before it) of a `numbered` table: a row a part."""
+    counts = stored.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")
+    return counts.select("_part", before.alias("_before"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reachable(spark)
     small_batches(spark)

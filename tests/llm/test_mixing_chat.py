@@ -129,3 +129,42 @@ def test_query_has_the_planted_conversation(spark, sf_dir):
     r = op7_prefix_target_chat(spark, sf_dir).filter("conv_id = -7").first()
     said = "</s>[INST] ok [/INST]"
     assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == plain_digest([(0, "user", said), (1, "assistant", said)])
+
+
+def test_repeated_rows_are_drawn_one_by_one(docs_of):
+    """A source of 5000 rows equal in doc_id and text and 50 others, and null ids with equal texts."""
+    rows = [(1, "w " * 6, "a")] * 5000 + [(10 + i, "w " * (20 + i), "a") for i in range(50)] + [(None, "x " * 7, "b")] * 400 + [(5000 + i, "w " * 30, "c") for i in range(2000)]
+    docs = docs_of(rows)
+    check_mix([r for r in mixing.allocation(docs).collect()], rows, 0.01)
+    mixed = mixing.mix(docs)
+    want = {(r["doc_id"], r["size"]): r["n"] for r in mixing.allocation(docs).groupBy("doc_id", "size").agg(F.sum("copies").alias("n")).collect() if r["n"]}
+    got = {(r["doc_id"], r["size"]): r["n"] for r in mixed.groupBy("doc_id", F.regexp_count("text", F.lit(r"[^ ]+")).cast("long").alias("size")).agg(F.count("*").alias("n")).collect()}
+    assert got == want and mixed.columns == docs.columns
+
+
+def test_ranks_by_brute_force(docs_of):
+    """taken and copies of every row from the plan's own strata and random numbers, sorted as a whole."""
+    rng = np.random.default_rng(12)
+    docs = docs_of([(i % 700, "w " * int(rng.integers(0, 80)), f"s{i % 4}" if i % 9 else None) for i in range(1500)])
+    rows, strata = mixing.plan(docs)
+    by = {(r["_key"], r["_class"]): r for r in strata.collect()}
+    want, of = {}, {}
+    for r in rows.collect():
+        of.setdefault(r["_key"], []).append(r)
+    for own in of.values():
+        left, drawn = by[own[0]["_key"], own[0]["_class"]]["_target"], []
+        for r in own:
+            s = by[r["_key"], r["_class"]]
+            left -= s["_whole"] * r["_size"]
+            if s["_p"] > 0:
+                drawn.append((r["_u"] / (1 - r["_u"]) / (s["_p"] / (1 - s["_p"])), r["_h"], r["_nth"], r))
+        taken = 0.0
+        for _, _, _, r in sorted(drawn, key=lambda x: x[:3]):
+            if taken + r["_size"] / 2 > left:
+                break
+            taken += r["_size"]
+            want[r["_h"], r["_nth"]] = 1
+        for r in own:
+            want[r["_h"], r["_nth"]] = want.get((r["_h"], r["_nth"]), 0) + by[r["_key"], r["_class"]]["_whole"]
+    got = {(r["_h"], r["_nth"]): r["_taken_copies"] for r in mixing.decided(rows, strata).collect()}
+    assert got == want and len(got) == 1500
