@@ -159,3 +159,45 @@ def test_substring_dedup_of_odd_texts(odd_docs):
     assert by[0]["text"] is None and by[2]["text"] == " \n\t " and by[3]["text"] == by[4]["text"] == "one"
     assert by[6]["removed_words"] > 60_000 and by[7]["text"] == "x" * 300_000
     assert substring.report(odd_docs.limit(0)).count() == 0 and substring.deduplicate(odd_docs.limit(0)).count() == 0
+
+
+def test_repeats_are_seen_through_white_space_and_among_null_ids(docs_of):
+    rng = np.random.default_rng(15)
+    prose = lambda n: ["".join(rng.choice(list("abcdefghijklmno"), 6)) for _ in range(n)]
+    passage = prose(80)
+    rows = [(1, " ".join([*prose(30), *passage])), (2, " ".join(prose(30)) + "\n" + "\n".join(passage)), (3, "  ".join([*passage, *prose(30)]))]
+    rows += [(None, " ".join([*prose(10), *passage])), (None, " ".join(prose(50)))]
+    got = substring.report(docs_of(rows)).collect()
+    removed = {r["doc_id"]: r["removed_words"] for r in got if r["doc_id"] is not None}
+    assert removed[1] == 0 and all(60 <= removed[i] <= 81 for i in (2, 3))
+    assert sorted(r["removed_words"] > 60 for r in got if r["doc_id"] is None) == [False, True]
+
+
+def test_repeated_windows_by_brute_force(spark):
+    """Of all 50-word windows of the documents that an earlier document (or place) has, nearly none stays, and
+    nothing goes but words in a window of 25 that was there before."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    got = {r["doc_id"]: r for r in substring.report(docs).collect()}
+    seen, first = set(), {}
+    repeated = stay = wrong = removed = 0
+    for i, text in rows:
+        words = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        spans = got[i]["removed_spans"]
+        gone = [any(s["start"] <= a and b <= s["stop"] for s in spans) for a, b, _ in words]
+        assert sum(gone) == got[i]["removed_words"]
+        covered = [False] * len(words)
+        for k in range(len(words) - 11):
+            key = tuple(w for _, _, w in words[k : k + 12])
+            if first.setdefault(key, (i, k)) != (i, k):
+                covered[k : k + 12] = [True] * 12
+        removed += sum(gone)
+        wrong += sum(g and not c for g, c in zip(gone, covered, strict=True))
+        own = [hash(tuple(w for _, _, w in words[k : k + 50])) for k in range(len(words) - 49)]
+        for k, h in enumerate(own):
+            if h in seen:
+                repeated += 1
+                stay += not any(gone[k : k + 50])
+            seen.add(h)
+    assert repeated > 300 and stay <= 0.01 * repeated, (repeated, stay)
+    assert wrong <= 0.002 * removed, (removed, wrong)
