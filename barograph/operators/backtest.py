@@ -142,11 +142,13 @@ def run_backtest(df: DataFrame, strategy: Strategy | None, capital: float | None
 
 
 def extract_trades(daily: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """Spans from the first bar with position 1 to the first without (included, so the exit's cost is in),
-    or to the last bar: trade_id, entry_date, exit_date, entry_price, exit_price, bars_held, ret."""
+    """Spans from the first bar with position 1 to the first with 0 (included, so the exit's cost is in), or to
+    the last bar; other positions neither open nor close one: trade_id, entry_date, exit_date, entry_price,
+    exit_price, bars_held, ret."""
     w = over(by)
-    before = F.coalesce(F.lag("position").over(w), F.lit(0.0))
-    rows = daily.withColumns({"_on": F.col("position") == 1, "_was": before == 1, "_n": F.row_number().over(w)})
+    turn = F.when(F.col("position") == 1, True).when(F.col("position") == 0, False)
+    rows = daily.withColumns({"_on": F.coalesce(F.last(turn, ignorenulls=True).over(expanding(by)), F.lit(False)), "_n": F.row_number().over(w)})
+    rows = rows.withColumn("_was", F.coalesce(F.lag("_on").over(w), F.lit(False)))
     rows = rows.withColumn("trade_id", F.sum(F.when(F.col("_on") & ~F.col("_was"), 1).otherwise(0)).over(expanding(by)))
     rows = rows.filter(F.col("_on") | F.col("_was"))
     return rows.groupBy(*by, "trade_id").agg(
@@ -165,42 +167,52 @@ def sharpe(ret: str, rf: float, td: int = TD) -> Column:
 
 
 def trade_stats(trades: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """num_trades, win_rate, profit_factor (infinite without losses if there is profit)."""
+    """num_trades, win_rate, avg_trade_return, profit_factor (infinite without losses if there is profit)."""
     won, lost = F.sum(F.when(F.col("ret") > 0, F.col("ret"))), -F.sum(F.when(F.col("ret") < 0, F.col("ret")))
     factor = F.when(F.coalesce(lost, F.lit(0.0)) > 0, F.try_divide(F.coalesce(won, F.lit(0.0)), lost)).when(won > 0, F.lit(float("inf")))
-    return trades.filter("ret is not null").groupBy(*by).agg(F.count("*").alias("num_trades"), F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("win_rate"), factor.alias("profit_factor"))
+    return trades.filter("ret is not null").groupBy(*by).agg(F.count("*").alias("num_trades"), F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg("ret").alias("avg_trade_return"), factor.alias("profit_factor"))
 
 
-def compute_metrics(daily: DataFrame, trades: DataFrame, rf: float | None = None, equity: str = "equity", ret: str = "net_ret", by: Sequence[str] = KEYS, td: int = TD) -> DataFrame:
-    """One row per asset: total_return, cagr, volatility, sharpe, max_drawdown and the trades' statistics."""
-    rf = CONFIG.analysis.risk_free if rf is None else rf
-    rows = daily.withColumn("_dd", growth(equity, F.max(equity).over(expanding(by))))
-    out = rows.groupBy(*by).agg(
+def performance(equity: str, ret: str, peak: str, rf: float, td: int) -> list[Column]:
+    """Aggregates over daily rows; peak: the column with the highest equity so far."""
+    return [
         total(equity).alias("total_return"),
         annual(total(equity) + 1, F.count(equity) - 1, td).alias("cagr"),
         annualized(ret, td).alias("volatility"),
         sharpe(ret, rf, td).alias("sharpe"),
-        F.min("_dd").alias("max_drawdown"),
-    )
+        F.min(growth(equity, peak)).alias("max_drawdown"),
+    ]
+
+
+def compute_metrics(daily: DataFrame, trades: DataFrame, rf: float | None = None, equity: str = "equity", ret: str = "net_ret", by: Sequence[str] = KEYS, td: int = TD) -> DataFrame:
+    """One row per asset: total_return, cagr, volatility, sharpe, max_drawdown and the trades' statistics."""
+    rf = CONFIG.analysis.risk_free if rf is None else rf
+    rows = daily.withColumn("_peak", F.max(equity).over(expanding(by)))
+    out = rows.groupBy(*by).agg(*performance(equity, ret, "_peak", rf, td))
     return out.join(trade_stats(trades, by), list(by), "left").withColumn("num_trades", F.coalesce("num_trades", F.lit(0)))
 
 
-def metrics_bundle(daily: DataFrame, rf: float | None = None, by: Sequence[str] = KEYS) -> DataFrame:
+#: The metrics of a bundle, in the order of its table.
+METRICS = ("total_return", "cagr", "volatility", "sharpe", "max_drawdown", "win_rate", "num_trades", "avg_trade_return", "profit_factor")
+
+
+def metrics_bundle(daily: DataFrame, rf: float | None = None, by: Sequence[str] = KEYS, td: int = TD) -> DataFrame:
     """net, gross and benchmark metrics, a row each per asset; gross and net share the net trades, the
-    benchmark counts as one trade without statistics."""
-    trades = extract_trades(daily, by)
-    kinds = [("net", "equity", "net_ret", trades), ("gross", "gross_equity", "gross_ret", trades), ("benchmark", "benchmark", "ret", trades.limit(0))]
-    out = None
-    for kind, equity, ret, own in kinds:
-        rows = compute_metrics(daily, own, rf, equity, ret, by).withColumn("kind", F.lit(kind))
-        rows = rows.withColumn("num_trades", F.lit(1).cast("long")) if kind == "benchmark" else rows
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    benchmark counts as one trade without statistics. One pass over daily for all three, one for the trades."""
+    rf = CONFIG.analysis.risk_free if rf is None else rf
+    kinds = {"net": ("equity", "net_ret"), "gross": ("gross_equity", "gross_ret"), "benchmark": ("benchmark", "ret")}
+    rows = daily.withColumns({f"_peak_{k}": F.max(e).over(expanding(by)) for k, (e, _) in kinds.items()})
+    own = [c.alias(f"{k}_{i}") for k, (e, r) in kinds.items() for i, c in enumerate(performance(e, r, f"_peak_{k}", rf, td))]
+    out = rows.groupBy(*by).agg(*own).join(trade_stats(extract_trades(daily, by), by), list(by), "left")
+    each = [F.struct(F.lit(k).alias("kind"), *(F.col(f"{k}_{i}").alias(m) for i, m in enumerate(METRICS[:5]))) for k in kinds]
+    out = out.select("*", F.explode(F.array(*each)).alias("_m")).select(*by, "_m.*", "num_trades", "win_rate", "avg_trade_return", "profit_factor")
+    traded = F.col("kind") != "benchmark"
+    stats = {c: F.when(traded, F.col(c)) for c in ("win_rate", "avg_trade_return", "profit_factor")}
+    return out.withColumns({**stats, "num_trades": F.when(traded, F.coalesce("num_trades", F.lit(0))).otherwise(1).cast("long")})
 
 
 def metrics_table(bundle: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """The bundle by metric: metric, and a column for each kind."""
-    names = ["total_return", "cagr", "volatility", "sharpe", "max_drawdown", "num_trades", "win_rate", "profit_factor"]
-    doubles = bundle.select(*by, "kind", *(F.col(n).cast("double").alias(n) for n in names))
-    long = doubles.unpivot([*by, "kind"], names, "metric", "value")
+    doubles = bundle.select(*by, "kind", *(F.col(n).cast("double").alias(n) for n in METRICS))
+    long = doubles.unpivot([*by, "kind"], list(METRICS), "metric", "value")
     return long.groupBy(*by, "metric").pivot("kind", ["benchmark", "gross", "net"]).agg(F.first("value"))

@@ -44,18 +44,25 @@ def regime_series(df: DataFrame, ret: str = "ret", vol_window: int | None = None
     return with_regime(df, ret, vol_window, low, high, by).filter(F.col("vol").isNotNull())
 
 
-def latest_regime() -> Column:
-    """Aggregate over with_regime: the last known regime, or Unknown."""
-    return F.coalesce(F.max_by("regime", F.when(F.col("regime").isNotNull(), F.col("date"))), F.lit("Unknown"))
-
-
 def latest_trend(price: str) -> Column:
     """Aggregate over trend_series: the trend at the last known price, Neutral without any."""
     return F.coalesce(F.max_by("trend", F.when(F.col(price).isNotNull(), F.col("date"))), F.lit(NEUTRAL))
 
 
+def regime_now(vol: str = "vol", vol_window: int | None = None, low: float | None = None, high: float | None = None) -> Column:
+    """Aggregate over rows with a rolling volatility: the regime at the last known one, or Unknown. Its thresholds
+    are percentiles of all that are known, so neither Python nor a whole series in one place is needed."""
+    a = CONFIG.analysis.regime
+    n, low, high = vol_window or a[2], a[0] if low is None else low, a[1] if high is None else high
+    now = F.round(F.max_by(vol, F.when(F.col(vol).isNotNull(), F.col("date"))), 12)
+    enough = F.count(vol) >= n
+    lo, hi = (F.round(F.when(enough, F.percentile(vol, x)), 12) for x in (low, high))
+    return F.when(now.isNull(), "Unknown").when(now >= hi, HIGH).when(now <= lo, LOW).otherwise(NORMAL)
+
+
 def current_regime(df: DataFrame, ret: str = "ret", by: Sequence[str] = KEYS) -> DataFrame:
-    return with_regime(df, ret, by=by).groupBy(*by).agg(latest_regime().alias("regime"))
+    """The last regime of `regime_series`, without the series."""
+    return df.withColumn("vol", rolling_volatility(CONFIG.analysis.regime[2], ret, by=by)).groupBy(*by).agg(regime_now().alias("regime"))
 
 
 def performance_by_regime(df: DataFrame, ret: str = "ret", by: Sequence[str] = KEYS) -> DataFrame:

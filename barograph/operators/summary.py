@@ -10,9 +10,9 @@ from ..functions.windows import expanding, growth
 from ..schema import with_label
 from .clean import add_returns, price_column
 from .indicators import rsi
-from .regime import BEARISH, BULLISH, latest_regime, latest_trend, trend_series, with_regime
+from .regime import BEARISH, BULLISH, latest_trend, regime_now, trend_series
 from .returns import at_back, numbered_back, trailing, ytd
-from .volatility import numbered_returns, realized
+from .volatility import numbered_returns, realized, rolling_volatility
 
 
 def percent(x: str | Column, digits: int = 2, signed: bool = False) -> Column:
@@ -35,19 +35,28 @@ def direction(x: str | Column) -> Column:
     return F.when(c > 0, "up").when(c < 0, "down").otherwise("flat")
 
 
+def with_volatility(df: DataFrame) -> DataFrame:
+    return df.withColumn("vol", rolling_volatility(CONFIG.analysis.regime[2]))
+
+
+def first_cards(overview: DataFrame, n: int = 3) -> DataFrame:
+    """The first n assets of an overview with a dimension, in display order; assets that it lacks come last."""
+    return overview.orderBy(F.col("display_order").asc_nulls_last(), "asset_key").limit(n)
+
+
 def market_overview(bars: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
-    """Per asset: price, ret_1, ret_5, ret_21, ret_ytd, vol_20d, trend, regime, and the asset's name if a
-    dimension is given. One pass: all windows and the thresholds share the asset's exchange;
-    after it only partial aggregates move."""
+    """Per asset: price, ret_1, ret_5, ret_21, ret_ytd, vol_20d, trend, regime, and the asset's name, class and
+    display order if a dimension is given. One pass: all windows share the asset's exchange; after it only
+    partial aggregates move."""
     p = price_column(bars)
     df = bars if "ret" in bars.columns else add_returns(bars)
-    df = with_regime(numbered_returns(numbered_back(trend_series(df, p), p)))
+    df = with_volatility(numbered_returns(numbered_back(trend_series(df, p), p)))
     out = df.groupBy("asset_key").agg(
         at_back(p, 0).alias("price"),
         *trailing(p),
         realized(CONFIG.analysis.vol_short).alias("vol_20d"),
         latest_trend(p).alias("trend"),
-        latest_regime().alias("regime"),
+        regime_now().alias("regime"),
     )
     return with_label(out, dimension) if dimension is not None else out
 
@@ -77,10 +86,10 @@ def snapshot(bars: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
     p = price_column(bars)
     df = bars if "ret" in bars.columns else add_returns(bars)
     df = numbered_returns(numbered_back(trend_series(rsi(df, price=p), p), p))
-    df = with_regime(df.withColumn("_dd", growth(p, F.max(p).over(expanding()))))
+    df = with_volatility(df.withColumn("_dd", growth(p, F.max(p).over(expanding()))))
     out = df.groupBy("asset_key").agg(
         latest_trend(p).alias("trend"),
-        latest_regime().alias("regime"),
+        regime_now().alias("regime"),
         F.max_by("rsi", "date").alias("rsi"),
         ytd(p).alias("ret_ytd"),
         F.min("_dd").alias("max_drawdown"),

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..operators import backtest as bt
 from ..operators import clean, correlation, drawdown, eventstudy, indicators, regime, returns, summary, volatility
 from ..sources import bars as src
@@ -215,6 +216,12 @@ def correlation_kendall_monthly(spark, sf_dir):
     return shown(correlation.correlation_matrix(months, method="kendall"))
 
 
+@query(sql.KENDALL_DAILY)
+def correlation_kendall(spark, sf_dir):
+    bars = walk(spark, sf_dir).withColumn("ret", F.round("ret", 9))
+    return shown(correlation.correlation_matrix(bars, method="kendall"))
+
+
 @query(sql.ROLLING_CORR)
 def rolling_correlation(spark, sf_dir):
     return shown(correlation.rolling_correlation(walk(spark, sf_dir), "A", "N", 60))
@@ -308,8 +315,7 @@ def backtest_metrics(spark, sf_dir):
 
 @query(sql.METRICS_TABLE)
 def backtest_metrics_table(spark, sf_dir):
-    table = bt.metrics_table(bt.metrics_bundle(bt.run_backtest(walk(spark, sf_dir), bt.MovingAverageCrossover())))
-    return shown(table.filter("metric in ('total_return', 'cagr', 'volatility', 'max_drawdown', 'num_trades')"))
+    return shown(bt.metrics_table(bt.metrics_bundle(bt.run_backtest(walk(spark, sf_dir), bt.MovingAverageCrossover()))))
 
 
 @query(sql.OOS)
@@ -367,7 +373,8 @@ def sparkline(spark, sf_dir):
 
 @query(sql.SNAPSHOT)
 def snapshot(spark, sf_dir):
-    return shown(summary.snapshot(walk(spark, sf_dir)).withColumn("n_observations", F.size("observations")).drop("observations"))
+    out = summary.snapshot(walk(spark, sf_dir)).withColumns({"n_observations": F.size("observations"), "said": F.array_join("observations", " ")})
+    return shown(out.drop("observations"))
 
 
 @query(sql.OVERVIEW)
@@ -378,3 +385,89 @@ def market_overview(spark, sf_dir):
 @query(sql.STREAM_BARS)
 def hourly_bars(spark, sf_dir):
     return shown(src.interval_bars(table(spark, sf_dir, "events")), day=False)
+
+
+def fractional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with positions between 0 and 1, short ones and missing ones among them."""
+    from ..functions.windows import over
+
+    n = F.row_number().over(over()) % 40
+    signal = F.when(n < 8, 1.0).when(n < 14, 0.5).when(n < 20, -1.0).when(n < 24, 1.0).when(n == 30, 0.25)
+    return walk(spark, sf_dir).withColumn("signal", signal)
+
+
+@query(sql.TRADES_FRACTIONAL)
+def backtest_trades_fractional(spark, sf_dir):
+    return shown(bt.extract_trades(bt.run_backtest(fractional(spark, sf_dir), None)))
+
+
+@query(sql.EXECUTION)
+def execution_prices(spark, sf_dir):
+    made, costs = bt.extract_trades(bt.run_backtest(walk(spark, sf_dir), bt.MovingAverageCrossover())), bt.CostModel(slippage_bps=25.0)
+    paid, got = costs.execution_price(F.col("entry_price"), F.lit(1)), costs.execution_price(F.col("exit_price"), F.lit(-1))
+    return shown(made.select("asset_key", "trade_id", paid.alias("paid"), got.alias("got")))
+
+
+NAMES = (("A", "Alpha", "A.X", "Equity Index", "USD", "US", "A"), ("Z", "Zeta", "Z=F", "Commodity", "USD", "Global", "Z"), ("N", "Nu", "N=X", "FX", "INR", "India", "N"))
+
+
+@query(sql.OVERVIEW_NAMED)
+def market_overview_named(spark, sf_dir):
+    return shown(summary.market_overview(walk(spark, sf_dir), schema.assets(spark, NAMES)))
+
+
+@query(sql.CARDS)
+def overview_cards(spark, sf_dir):
+    return shown(summary.first_cards(summary.market_overview(walk(spark, sf_dir), schema.assets(spark, NAMES)), 2).select("asset_key", "name", "price", "ret_1"))
+
+
+@query(sql.LOOKUP)
+def asset_lookup(spark, sf_dir):
+    dimension = schema.assets(spark)
+    chosen = schema.assets_by_class(dimension, "Equity Index").select("asset_key", F.lit("class").alias("by"))
+    return chosen.unionByName(schema.asset_keys(dimension).withColumn("by", F.lit("all")))
+
+
+@query(sql.LOADED)
+def load_selected(spark, sf_dir):
+    bars, _ = src.usable(raw_bars(spark, sf_dir), ["click", "view", "missing"])
+    return shown(bars.select("asset_key", "date", "close", "ret"), day=False)
+
+
+@query(sql.LOAD_ERRORS)
+def load_errors(spark, sf_dir):
+    return src.usable(raw_bars(spark, sf_dir), ["click", "view", "missing"])[1]
+
+
+@query(sql.IN_RANGE)
+def bars_of_default_dates(spark, sf_dir):
+    rows = src.in_range(src.interval_bars(table(spark, sf_dir, "events")), None, *src.default_dates())
+    return shown(rows.groupBy("asset_key").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last")), day=False)
+
+
+@query(sql.PROVIDER)
+def provider_columns(spark, sf_dir):
+    bars = src.interval_bars(table(spark, sf_dir, "events"))
+    named = bars.select("asset_key", F.col("date").alias(" DATE"), F.col("open").alias("Open"), F.col("high").alias("open "), F.col("close").alias("close"), F.col("close").alias("adj close"), F.col("volume").alias("VOLUME"), F.lit(1).alias("Dividends"))
+    return shown(clean.normalise_columns(named), day=False)
+
+
+@query(sql.EVENTS_ADDED)
+def events_added(spark, sf_dir):
+    from datetime import date
+
+    mine = cal.typed(quarter_events(spark, sf_dir))
+    return cal.add_event(mine, (date(2030, 1, 2), None, "US CPI", 0.2, 0.3, None))
+
+
+@query(sql.EVENT_KINDS)
+def event_types(spark, sf_dir):
+    return cal.event_types(table(spark, sf_dir, "events").select(F.col("event_type").alias("event")))
+
+
+@query(sql.TEXTS)
+def formatted_texts(spark, sf_dir):
+    rows = walk(spark, sf_dir).withColumn("ret", F.round("ret", 9) + F.lit(0.0))
+    gain = F.when(F.dayofmonth("date") == 1, F.lit(float("inf"))).otherwise(F.col("ret") * 7)
+    texts = {"change": summary.percent("ret", 2, True), "price": summary.number(F.round(F.col("close") * 100, 6)), "factor": summary.ratio_text(gain), "moved": summary.direction("ret")}
+    return rows.withColumns(texts).select("asset_key", F.col("date").cast("date").alias("date"), *texts)

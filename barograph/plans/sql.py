@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..schema import DEFAULT_ASSETS
 from ..sources.events import EVENT_TYPES, FOMC_DATES
 
 
@@ -163,6 +164,11 @@ sums AS (SELECT p.a, p.b, sum(sign(p.x - q.x) * sign(p.y - q.y)) AS s, sum(abs(s
          FROM pairs p JOIN pairs q ON p.a = q.a AND p.b = q.b AND p.date < q.date GROUP BY 1, 2),
 half AS (SELECT a, b, s / sqrt(tx * ty) AS corr, n FROM sums JOIN (SELECT a, b, count(*) AS n FROM pairs GROUP BY 1, 2) USING (a, b)), {MIRROR}
 SELECT a, b, {r("corr")}, n FROM whole"""
+TAU = """sums AS (SELECT p.a, p.b, sum(sign(p.x - q.x) * sign(p.y - q.y)) AS s, sum(abs(sign(p.x - q.x))) AS tx, sum(abs(sign(p.y - q.y))) AS ty
+         FROM pairs p JOIN pairs q ON p.a = q.a AND p.b = q.b AND p.date < q.date GROUP BY 1, 2),
+half AS (SELECT a, b, s / sqrt(tx * ty) AS corr, n FROM sums JOIN (SELECT a, b, count(*) AS n FROM pairs GROUP BY 1, 2) USING (a, b))"""
+KENDALL_DAILY = f"""WITH {WALK.replace("walk AS", "daily AS")}, walk AS (SELECT asset_key, date, round(ret, 9) AS ret FROM daily WHERE ret IS NOT NULL), {PAIRS}, {TAU}, {MIRROR}
+SELECT a, b, {r("corr")}, n FROM whole"""
 R60 = "(ORDER BY date ROWS 59 PRECEDING)"
 ROLLING_CORR = f"""WITH {WALK}, pairs AS (SELECT p.date, p.ret AS x0, q.ret AS y0 FROM walk p JOIN walk q ON p.date = q.date AND p.asset_key = 'A' AND q.asset_key = 'N'),
 both_known AS (SELECT date, CASE WHEN y0 IS NOT NULL THEN x0 END AS x, CASE WHEN x0 IS NOT NULL THEN y0 END AS y FROM pairs)
@@ -221,7 +227,8 @@ daily AS (SELECT *, product(1 + net_ret) OVER {u} * 100000 AS equity, product(1
 
 def trades(keys: str = "asset_key") -> str:
     w, u = (x.replace("asset_key", keys) for x in (W, U))
-    return f"""t1 AS (SELECT *, position = 1 AS on_now, coalesce(lag(position) OVER {w}, 0) = 1 AS was, row_number() OVER {w} AS n FROM daily),
+    return f"""t0 AS (SELECT *, coalesce(last_value(CASE WHEN position = 1 THEN true WHEN position = 0 THEN false END IGNORE NULLS) OVER {u}, false) AS on_now FROM daily),
+t1 AS (SELECT *, coalesce(lag(on_now) OVER {w}, false) AS was, row_number() OVER {w} AS n FROM t0),
 t2 AS (SELECT *, sum(CASE WHEN on_now AND NOT was THEN 1 ELSE 0 END) OVER {u} AS trade_id FROM t1),
 trades AS (SELECT {keys}, CAST(trade_id AS BIGINT) AS trade_id, min(date) AS entry_date, max(date) AS exit_date, arg_min(close, date) AS entry_price, arg_max(close, date) AS exit_price,
            max(n) - min(n) AS bars_held, product(1 + net_ret) - 1 AS ret FROM t2 WHERE on_now OR was GROUP BY {keys}, trade_id)"""
@@ -235,16 +242,21 @@ def metrics(keys: str = "asset_key", equity: str = "equity", ret: str = "net_ret
            (avg({ret}) - 0.02::DOUBLE / 252) / nullif(stddev_samp({ret}), 0) * sqrt(252) AS sharpe, min(dd) AS max_drawdown FROM {name}_dd GROUP BY {keys})"""
 
 
-STATS_OF = """stats_of AS (SELECT {keys}, count(*) AS num_trades, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate,
+STATS_OF = """stats_of AS (SELECT {keys}, count(*) AS num_trades, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(ret) AS avg_trade_return,
 CASE WHEN sum(ret) FILTER (ret < 0) < 0 THEN coalesce(sum(ret) FILTER (ret > 0), 0) / -sum(ret) FILTER (ret < 0) WHEN sum(ret) FILTER (ret > 0) > 0 THEN 'inf'::DOUBLE END AS profit_factor
 FROM trades GROUP BY {keys})"""
 NUMBERS = ("close", "signal", "ret", "position", "turnover", "cost", "gross_ret", "net_ret", "equity", "gross_equity", "benchmark")
 FOUR = ", ".join(r(n, digits=4) for n in NUMBERS)
 BACKTEST = f"WITH {WALK}, {MA}, {run()} SELECT asset_key, {DAY}, {FOUR} FROM daily"
 BACKTEST_RSI = f"WITH {RSIS}, {LATCH}, {run()} SELECT asset_key, {DAY}, {FOUR} FROM daily"
+FRACTIONS = f"""signals AS (SELECT *, CASE WHEN n < 8 THEN 1 WHEN n < 14 THEN 0.5 WHEN n < 20 THEN -1 WHEN n < 24 THEN 1 WHEN n = 30 THEN 0.25 ELSE 0 END::DOUBLE AS signal
+FROM (SELECT *, row_number() OVER {W} % 40 AS n FROM walk))"""
+TRADES_FRACTIONAL = f"""WITH {WALK}, {FRACTIONS}, {run()}, {trades()}
+SELECT asset_key, trade_id, CAST(entry_date AS DATE) AS entry_date, CAST(exit_date AS DATE) AS exit_date, {rs("entry_price", "exit_price")}, bars_held, {r("ret")} FROM trades"""
+EXECUTION = f"""WITH {WALK}, {MA}, {run()}, {trades()} SELECT asset_key, trade_id, {r("entry_price * 1.0025::DOUBLE", "paid")}, {r("exit_price * 0.9975::DOUBLE", "got")} FROM trades"""
 TRADES = f"""WITH {WALK}, {MA}, {run()}, {trades()}
 SELECT asset_key, trade_id, CAST(entry_date AS DATE) AS entry_date, CAST(exit_date AS DATE) AS exit_date, {rs("entry_price", "exit_price")}, bars_held, {r("ret")} FROM trades"""
-SHOWN = f"{rs('total_return', 'cagr', 'volatility', 'sharpe', 'max_drawdown')}, coalesce(num_trades, 0) AS num_trades, {rs('win_rate', 'profit_factor')}"
+SHOWN = f"{rs('total_return', 'cagr', 'volatility', 'sharpe', 'max_drawdown')}, coalesce(num_trades, 0) AS num_trades, {rs('win_rate', 'avg_trade_return', 'profit_factor')}"
 METRICS = f"WITH {WALK}, {MA}, {run()}, {trades()}, {metrics()}, {STATS_OF.format(keys='asset_key')} SELECT asset_key, {SHOWN} FROM metrics LEFT JOIN stats_of USING (asset_key)"
 SEGMENT = """walk_parts AS (SELECT *, CASE WHEN CAST(date AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1999-12-31' THEN 'dev' WHEN CAST(date AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2001-12-31' THEN 'oos' END AS segment FROM walk)"""
 KS = "asset_key, segment"
@@ -254,13 +266,17 @@ KINDS = (("benchmark", "benchmark", "ret"), ("gross", "gross_equity", "gross_ret
 
 
 def by_metric(kind: str) -> str:
-    count = "1.0::DOUBLE" if kind == "benchmark" else "coalesce(n, 0)::DOUBLE"
-    parts = [f"SELECT asset_key, '{m}' AS metric, '{kind}' AS kind, {m} AS value FROM m_{kind}" for m in ("total_return", "cagr", "volatility", "max_drawdown")]
-    parts.append(f"SELECT asset_key, 'num_trades', '{kind}', {count} FROM m_{kind} LEFT JOIN (SELECT asset_key, count(*) AS n FROM trades GROUP BY 1) USING (asset_key)")
+    """The nine metrics of a kind, a row each."""
+    parts = [f"SELECT asset_key, '{m}' AS metric, '{kind}' AS kind, {m} AS value FROM m_{kind}" for m in ("total_return", "cagr", "volatility", "sharpe", "max_drawdown")]
+    for m in ("win_rate", "num_trades", "avg_trade_return", "profit_factor"):
+        value = "NULL" if kind == "benchmark" else m
+        if m == "num_trades":
+            value = "1" if kind == "benchmark" else "coalesce(num_trades, 0)"
+        parts.append(f"SELECT asset_key, '{m}', '{kind}', ({value})::DOUBLE FROM m_{kind} LEFT JOIN stats_of USING (asset_key)")
     return " UNION ALL ".join(parts)
 
 
-METRICS_TABLE = f"""WITH {WALK}, {MA}, {run()}, {trades()}, {", ".join(metrics("asset_key", e, x, f"m_{k}") for k, e, x in KINDS)},
+METRICS_TABLE = f"""WITH {WALK}, {MA}, {run()}, {trades()}, {", ".join(metrics("asset_key", e, x, f"m_{k}") for k, e, x in KINDS)}, {STATS_OF.format(keys="asset_key")},
 listed AS ({" UNION ALL ".join(by_metric(k) for k, _, _ in KINDS)})
 SELECT asset_key, metric, {", ".join(r(f"max(value) FILTER (kind = '{k}')", k) for k, _, _ in KINDS)} FROM listed GROUP BY 1, 2"""
 
@@ -298,11 +314,34 @@ def body(ctes: str) -> str:
 
 PARTS = f"""{WALK}, {body(BACK)}, {body(REALIZED)}, {body(REG)}, {body(TRENDS)},
 now_regime AS (SELECT asset_key, arg_max(regime, date) AS regime FROM regimes GROUP BY 1), now_trend AS (SELECT asset_key, arg_max(trend, date) AS trend FROM trends GROUP BY 1)"""
+DEEPEST = "printf('deepest drawdown of the window %.1f%%', max_drawdown * 100)"
+SAID = f"""concat_ws(' ', asset_key || ': trend is ' || lower(trend) || ' (' || CASE trend WHEN 'Bullish' THEN 'price over SMA50 over SMA200' WHEN 'Bearish' THEN 'price under SMA50 under SMA200' ELSE 'price and averages out of line' END || ').',
+  'Volatility regime: ' || regime || '; 20-day volatility ' || coalesce(printf('%.1f%%', vol * 100), '—') || ' a year.',
+  printf('RSI(14) at %.0f, ', rsi) || CASE WHEN rsi >= 70 THEN 'overbought' WHEN rsi <= 30 THEN 'oversold' ELSE 'neutral' END || '.',
+  CASE WHEN current_drawdown <= -0.001 THEN printf('%.1f%% from the peak; ', current_drawdown * 100) ELSE 'At or near the peak; ' END || {DEEPEST} || '.',
+  printf('%+.1f%% since the start of the year.', ret_ytd * 100))"""
 SNAPSHOT = f"""WITH {PARTS}, {body(RSIS)}, {body(STATS)}, y AS (SELECT asset_key, {YTD} AS ret_ytd FROM back GROUP BY 1), now_rsi AS (SELECT asset_key, arg_max(rsi, date) AS rsi FROM rsis GROUP BY 1)
 SELECT asset_key, trend, regime, {rs("rsi", "ret_ytd", "max_drawdown", "current_drawdown")}, {r("vol", "vol_20d")},
-       CAST(2 + CAST(rsi IS NOT NULL AS INTEGER) + CAST(current_drawdown IS NOT NULL AS INTEGER) + CAST(ret_ytd IS NOT NULL AS INTEGER) AS INTEGER) AS n_observations
+       CAST(2 + CAST(rsi IS NOT NULL AS INTEGER) + CAST(current_drawdown IS NOT NULL AS INTEGER) + CAST(ret_ytd IS NOT NULL AS INTEGER) AS INTEGER) AS n_observations, {SAID} AS said
 FROM now_trend JOIN now_regime USING (asset_key) JOIN now_rsi USING (asset_key) JOIN y USING (asset_key) JOIN stats USING (asset_key) JOIN realized USING (asset_key)"""
 OVERVIEW = f"""WITH {PARTS}, t AS (SELECT asset_key, {at(0)} AS price, {", ".join(f"{at(0)} / {at(n)} - 1 AS ret_{n}" for n in (1, 5, 21))}, {YTD} AS ret_ytd FROM back GROUP BY 1)
 SELECT asset_key, {rs("price", "ret_1", "ret_5", "ret_21", "ret_ytd")}, {r("vol", "vol_20d")}, trend, regime
 FROM t JOIN realized USING (asset_key) JOIN now_trend USING (asset_key) JOIN now_regime USING (asset_key)"""
 STREAM_BARS = f"WITH {HOURS} SELECT asset_key, date, {rs('open', 'high', 'low', 'close')}, {r('close', 'adj_close')}, {r('volume')} FROM hours"
+LISTED = """listed(asset_key, name, asset_class, display_order) AS (VALUES ('A', 'Alpha', 'Equity Index', 0), ('Z', 'Zeta', 'Commodity', 1), ('N', 'Nu', 'FX', 2))"""
+OVERVIEW_NAMED = OVERVIEW.replace("WITH ", f"WITH {LISTED}, ", 1).replace(", trend, regime\nFROM", ", trend, regime, coalesce(name, asset_key) AS name, asset_class, display_order\nFROM") + " LEFT JOIN listed USING (asset_key)"
+CARDS = f"SELECT asset_key, name, price, ret_1 FROM ({OVERVIEW_NAMED}) ORDER BY display_order NULLS LAST, asset_key LIMIT 2"
+LOOKUP = f"""WITH fixed(asset_key, asset_class) AS (VALUES {", ".join(f"('{a[0]}', '{a[3]}')" for a in DEFAULT_ASSETS)})
+SELECT asset_key, 'class' AS by FROM fixed WHERE asset_class = 'Equity Index' UNION ALL SELECT asset_key, 'all' FROM fixed"""
+LOADED = f"""WITH {RAW}, kept AS (SELECT asset_key, date, {filled("close")} AS close FROM staged WHERE kept AND asset_key IN ('click', 'view'))
+SELECT asset_key, date, {r("close")}, {r(f"CASE WHEN lag(close) OVER {W} <> 0 THEN close / lag(close) OVER {W} - 1 END", "ret")} FROM kept"""
+LOAD_ERRORS = f"WITH {RAW} SELECT asset_key, 'no usable rows' AS error FROM (VALUES ('click'), ('view'), ('missing')) AS v(asset_key) WHERE asset_key NOT IN (SELECT asset_key FROM staged WHERE kept)"
+IN_RANGE = f"WITH {HOURS} SELECT asset_key, count(*) AS n, min(date) AS first, max(date) AS last FROM hours WHERE date >= DATE '2015-01-01' AND date < current_date + 1 GROUP BY 1"
+PROVIDER = f"WITH {HOURS} SELECT asset_key, date, {rs('open', 'close')}, {r('close', 'adj_close')}, {r('volume')} FROM hours"
+EVENTS_ADDED = f"""WITH {QUARTERS} SELECT date, 'US' AS country, '{FED}' AS event, NULL::DOUBLE AS expected, NULL::DOUBLE AS actual, NULL::DOUBLE AS previous FROM quarters
+UNION ALL SELECT DATE '2030-01-02', NULL, 'US CPI', 0.2, 0.3, NULL"""
+EVENT_KINDS = "SELECT DISTINCT event_type AS event FROM events"
+TEXTS = f"""WITH {WALK}, rounded AS (SELECT asset_key, {DAY}, close, round(ret, 9) + 0.0 AS ret FROM walk)
+SELECT asset_key, date, coalesce(printf('%+.2f%%', ret * 100), '—') AS change, format('{{:,.2f}}', round(close * 100, 6)) AS price,
+       CASE WHEN day(date) = 1 THEN '∞' ELSE coalesce(printf('%.2f', ret * 7), '—') END AS factor,
+       CASE WHEN ret > 0 THEN 'up' WHEN ret < 0 THEN 'down' ELSE 'flat' END AS moved FROM rounded"""

@@ -46,6 +46,6 @@ def asset_keys(dimension: DataFrame) -> DataFrame:
 
 
 def with_label(df: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Adds name: the asset's, or its key where the dimension does not have it. The dimension has a row per
-    asset and is left to the optimizer's own size check for broadcasting."""
-    return df.join(dimension.select("asset_key", "name", "display_order"), "asset_key", "left").withColumn("name", F.coalesce("name", "asset_key"))
+    """Adds name (the asset's, or its key where the dimension does not have it), asset_class and display_order. The
+    dimension has a row per asset and is left to the optimizer's own size check for broadcasting."""
+    return df.join(dimension.select("asset_key", "name", "asset_class", "display_order"), "asset_key", "left").withColumn("name", F.coalesce("name", "asset_key"))

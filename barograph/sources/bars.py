@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.errors import AnalysisException
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
-from ..operators.clean import add_returns, clean_bars, file_key, normalise_columns
-from ..schema import DataUnavailableError
+from ..operators.clean import add_returns, clean_bars, cleaning_report, file_key, normalise_columns
+from ..schema import DEFAULT_ASSETS, DataUnavailableError, DataValidationError
 
 
 def read_bars(spark: SparkSession, path: str, format: str = "parquet", keys: Sequence[str] | None = None, start: date | None = None, end: date | None = None, **options) -> DataFrame:
@@ -36,13 +37,24 @@ def load(raw: DataFrame) -> DataFrame:
     return add_returns(clean_bars(raw))
 
 
+def default_dates(start: date | None = None, end: date | None = None) -> tuple[date, date]:
+    """The range asked for; from the configured first day to today, where an end of it is left open."""
+    return start or CONFIG.analysis.start, end or date.today()
+
+
+def usable(raw: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(bars with returns, errors by asset_key) of the assets asked for: those without usable rows are errors."""
+    bars = load(raw.filter(F.col("asset_key").isin(list(keys))))
+    found = bars.select("asset_key").distinct()
+    asked = raw.sparkSession.createDataFrame([(k,) for k in keys], "asset_key string")
+    return bars, asked.join(found, "asset_key", "left_anti").withColumn("error", F.lit("no usable rows"))
+
+
 def load_many(spark: SparkSession, path: str, keys: Sequence[str], start: date | None = None, end: date | None = None, **how) -> tuple[DataFrame, DataFrame]:
     """(bars with returns, errors by asset_key): assets that have no usable rows are reported, not raised.
     DataUnavailableError if that is all of them."""
-    raw = read_bars(spark, path, keys=keys, start=start or CONFIG.analysis.start, end=end or date.today(), **how)
-    bars = load(raw)
-    found = bars.select("asset_key").distinct()
-    errors = spark.createDataFrame([(k,) for k in keys], "asset_key string").join(found, "asset_key", "left_anti").withColumn("error", F.lit("no usable rows"))
+    start, end = default_dates(start, end)
+    bars, errors = usable(read_bars(spark, path, keys=keys, start=start, end=end, **how), keys)
     if errors.count() == len(set(keys)):
         raise DataUnavailableError(f"no bars for {', '.join(keys)}")
     return bars, errors
@@ -94,13 +106,72 @@ class SnapshotStore:
             raw = fetch()
             if raw.isEmpty():
                 raise DataUnavailableError("the source returned no rows")
-            self.save(path, raw)
-            return self.read(path), "fetched"
         except Exception:
             old = self.read(path)
             if old is None:
                 raise
             return old, "stale"
+        try:
+            self.save(path, raw)
+            return self.read(path), "fetched"
+        except Exception:  # a snapshot that cannot be kept must not break the load
+            return raw, "fetched"
+
+    def clear(self) -> int:
+        """Removes all snapshots; how many files went."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return 0
+        n = fs.getContentSummary(root).getFileCount()
+        fs.delete(root, True)
+        return n
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """One asset's clean bars with returns, the cleaning report, and where they came from."""
+
+    key: str
+    asset: dict
+    bars: DataFrame
+    report: DataFrame
+    from_cache: bool
+    stale: bool
+
+
+def load_asset(
+    store: SnapshotStore,
+    key: str,
+    fetch: Callable[[str, date, date, str], DataFrame],
+    start: date | None = None,
+    end: date | None = None,
+    interval: str = "1d",
+    use_cache: bool = True,
+    force: bool = False,
+    assets: Sequence[tuple] = DEFAULT_ASSETS,
+) -> Loaded:
+    """Bars of one asset of the dimension: a fresh snapshot, else what fetch(ticker, start, end, interval) returns
+    (then kept), else an old snapshot. KeyError for an unknown key; DataUnavailableError without usable rows."""
+    names = ("key", "name", "ticker", "asset_class", "currency", "region", "code")
+    by = {r[0]: dict(zip(names, r, strict=True)) for r in assets}
+    if key not in by:
+        raise KeyError(f"unknown asset {key!r}")
+    asset, (start, end) = by[key], default_dates(start, end)
+    path = store.path(asset["ticker"], start, end, interval)
+    try:
+        raw, how = store.get(path, lambda: fetch(asset["ticker"], start, end, interval), force or not use_cache)
+    except Exception as e:
+        raise DataUnavailableError(f"no bars of {asset['name']} ({asset['ticker']}) and no snapshot: {e}") from e
+    try:
+        raw = normalise_columns(raw)
+        raw = raw if "asset_key" in raw.columns else raw.withColumn("asset_key", F.lit(key))
+        bars, report = load(raw), cleaning_report(raw)
+        if bars.isEmpty():
+            raise DataValidationError(f"no usable rows of {key}")
+    except DataValidationError as e:
+        raise DataUnavailableError(str(e)) from e
+    return Loaded(key, asset, bars, report, how != "fetched", how == "stale")
 
 
 def walk_bars(lineitem: DataFrame) -> DataFrame:

@@ -264,7 +264,7 @@ def test_costs_metrics_and_tables(spark, bars):
     bundle = bt.metrics_bundle(dear)
     rows = {r["kind"]: r for r in bundle.collect()}
     assert rows["gross"]["total_return"] > rows["net"]["total_return"] and rows["benchmark"]["num_trades"] == 1
-    assert bt.metrics_table(bundle).count() == 8
+    assert bt.metrics_table(bundle).count() == 9
     stats = one(bt.trade_stats(spark.createDataFrame([("X", r) for r in (0.1, -0.05, 0.2, -0.1, None)], "asset_key string, ret double")))
     assert (stats["num_trades"], stats["win_rate"], stats["profit_factor"]) == (4, 0.5, near(2.0))
     only_won = one(bt.trade_stats(spark.createDataFrame([("X", 0.1)], "asset_key string, ret double")))
@@ -401,8 +401,8 @@ def test_one_exchange_of_bars_in_overviews(spark, sf_dir):
 
     for name in ("market_overview", "snapshot"):
         plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning(asset_key") == 2, name  # bars, then partial aggregates
-        assert plan.index("partial_") < plan.index("FlatMapGroupsIn"), name
+        assert plan.count("Exchange hashpartitioning(asset_key") == 1, name  # windows and aggregates share it
+        assert "FlatMapGroupsIn" not in plan, name
 
 
 def test_overview_plan_has_few_shuffles_of_bars(spark, sf_dir):
@@ -410,3 +410,55 @@ def test_overview_plan_has_few_shuffles_of_bars(spark, sf_dir):
 
     plan = regime.trend_series(catalogue.walk(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(asset_key") == 1
+
+
+def test_fractional_positions_neither_open_nor_close_trades(bars):
+    df = bars([100, 101, 103, 102, 104, 105, 107, 106], signal=[1.0, 0.5, 1.0, 0.0, 0.0, -1.0, 0.5, 1.0])
+    got = bt.extract_trades(bt.run_backtest(df, None)).collect()
+    assert [(r["entry_price"], r["exit_price"], r["bars_held"]) for r in got] == [(101, 104, 3)]
+
+
+def test_average_trade(spark):
+    stats = one(bt.trade_stats(spark.createDataFrame([("X", r) for r in (0.1, -0.05, 0.2, -0.1, None)], "asset_key string, ret double")))
+    assert stats["avg_trade_return"] == near(0.0375)
+
+
+def test_load_asset_and_cleared_snapshots(spark, bars, tmp_path):
+    now, root = [0.0], f"file://{tmp_path}/snap"
+    store = src.SnapshotStore(spark, root, 12, lambda: now[0])
+    raw = bars(WALK[:30]).drop("asset_key")
+    fetch = lambda ticker, start, end, interval: raw
+    with pytest.raises(KeyError):
+        src.load_asset(store, "NOPE", fetch)
+
+    def broken(*a):
+        raise OSError("offline")
+
+    with pytest.raises(DataUnavailableError):
+        src.load_asset(store, "GOLD", broken)
+    days = dt.date(2020, 1, 1), dt.date(2020, 3, 1)
+    first = src.load_asset(store, "GOLD", fetch, *days)
+    assert (first.from_cache, first.stale, first.asset["ticker"]) == (False, False, "GC=F") and first.bars.count() == 30
+    assert {r["asset_key"] for r in first.bars.collect()} == {"GOLD"} and first.report.first()["rows_out"] == 30
+    again = src.load_asset(store, "GOLD", broken, *days)
+    assert (again.from_cache, again.stale) == (True, False)
+    now[0] = 13 * 3600.0
+    old = src.load_asset(store, "GOLD", broken, *days)
+    assert (old.from_cache, old.stale) == (True, True)
+    with pytest.raises(DataUnavailableError):
+        src.load_asset(store, "CRUDE", lambda *a: raw.withColumn("close", F.lit(None).cast("double")), *days)
+    assert store.clear() > 0 and store.clear() == 0
+    with pytest.raises(DataUnavailableError):
+        src.load_asset(store, "GOLD", broken, *days)
+    store.save = broken
+    kept = src.load_asset(store, "GOLD", fetch, *days)
+    assert kept.bars.count() == 30 and not kept.from_cache
+
+
+def test_kendall_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 12, 150), rng.integers(0, 9, 150)
+    rows = [(k, dt.datetime(2020, 1, 1) + dt.timedelta(i), float(v[i])) for k, v in (("A", x), ("B", y)) for i in range(150)]
+    got = correlation.correlation_matrix(spark.createDataFrame(rows, "asset_key string, date timestamp_ntz, ret double"), method="kendall").filter("a = 'A' and b = 'B'").first()
+    sx, sy = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
+    assert got["n"] == 150 and got["corr"] == near((sx * sy).sum() / np.sqrt((sx**2).sum() * (sy**2).sum()))
