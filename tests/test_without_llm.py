@@ -3,13 +3,17 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
-def test_entry_works_without_the_llm_subpackage(tmp_path):
-    for name in ("barograph", "__spark_entry__.py"):
-        (shutil.copytree if (ROOT / name).is_dir() else shutil.copy)(ROOT / name, tmp_path / name, **({"ignore": shutil.ignore_patterns("llm", "__pycache__")} if (ROOT / name).is_dir() else {}))
-    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') for n in e.queries()))"
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_works_without_the_llm_subpackage(tmp_path, pipeline):
+    shutil.copytree(ROOT / "barograph", tmp_path / "barograph", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * pipeline:
+        shutil.copy(ROOT / name, tmp_path / name)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
     queries, oracles, has_llm = out.stdout.split()
     assert int(queries) == int(oracles) > 40 and has_llm == "False"
