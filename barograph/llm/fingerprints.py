@@ -13,12 +13,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import WORD, ascii_lower, materialize, numbered
 
-#: Terms added up in one stretch (a lane counts to 65535, the topmost to 32767); bytes a bucket of texts.
-STRETCH, BUCKET_BYTES = 30_000, 4 << 20
-#: Buckets up to which their first rows are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: Terms added up in one stretch (a lane counts to 65535, the topmost to 32767).
+STRETCH = 30_000
+#: What names a text: whether it has an id, the id (0 without one), a hash of the text, its code points.
+KEY = ["_known", "_id", "_tie", "_size"]
 _LANES = 0x0001000100010001
 
 
@@ -33,19 +33,41 @@ def words_array(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def fingerprint(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys and _fp (signed 64-bit) for every row of (keys, text); keys name a row."""
-    hashed = rows.select(*keys, term_hashes(words_array(F.col(text))).alias("_hashes"))
-    each = hashed.select(*keys, F.posexplode_outer("_hashes").alias("_at", "_h"))
+def sums(rows: DataFrame, keys: list[str], kinds: Column) -> DataFrame:
+    """keys, _e and _fp (signed 64-bit) from rows of keys, _hashes and what kinds reads: the place _at of a hash
+    gives the list of the _e it votes for. keys name a row."""
+    each = rows.select("*", F.posexplode_outer("_hashes").alias("_at", "_h")).withColumn("_for", kinds)
     lanes = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(_LANES))).alias(f"_l{i}") for i in range(16)]
-    votes = each.groupBy(*keys, F.floor(F.col("_at") / STRETCH).alias("_stretch")).agg(F.count("_h").alias("_n"), *lanes)
+    votes = each.groupBy(*keys, "_for", F.floor(F.col("_at") / STRETCH).alias("_stretch")).agg(F.count("_h").alias("_n"), *lanes)
+    votes = votes.select("*", F.explode("_for").alias("_e"))
     bits = [F.sum(F.shiftrightunsigned(f"_l{i % 16}", 16 * (i // 16)).bitwiseAND(F.lit(0xFFFF))).alias(f"_b{i}") for i in range(64)]
-    votes = votes.groupBy(*keys).agg(F.sum("_n").alias("_n"), *bits)
+    votes = votes.groupBy(*keys, "_e").agg(F.sum("_n").alias("_n"), *bits)
     fp = F.lit(0).cast("long")
     for i in range(64):
         one = (1 << i) if i < 63 else -(1 << 63)
         fp = fp.bitwiseOR(F.when(2 * F.col(f"_b{i}") > F.col("_n"), F.lit(one).cast("long")).otherwise(F.lit(0).cast("long")))
-    return votes.select(*keys, fp.alias("_fp"))
+    return votes.select(*keys, "_e", fp.alias("_fp"))
+
+
+def fingerprint(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys and _fp (signed 64-bit) for every row of (keys, text); keys name a row."""
+    hashed = rows.select(*keys, term_hashes(words_array(F.col(text))).alias("_hashes"))
+    return sums(hashed, keys, F.array(F.lit(0))).drop("_e")
+
+
+def both_fingerprints(rows: DataFrame, keys: list[str], kept: str) -> DataFrame:
+    """keys, fp, edited_fp for rows of keys, text, edited; both texts begin with the first `kept` code points. Terms
+    within these are hashed and counted once for both."""
+    words = rows.select(*keys, words_array(F.col("text")).alias("_w"), words_array(F.col("edited")).alias("_v"), F.regexp_count(F.substring(F.col("text"), F.lit(1), F.col(kept)), F.lit(WORD)).alias("_whole"))
+    # the last word of the beginning may go on; _m pairs lie before it
+    words = words.withColumn("_m", F.greatest(F.col("_whole") - 2, F.lit(0))).withColumn("_t", term_hashes(F.col("_w")))
+    tail = F.slice("_v", F.col("_m") + 1, F.greatest(F.size("_v"), F.lit(1)))
+    rest = F.when((F.col("_m") > 0) & (F.size("_v") == F.col("_m") + 1), F.array().cast("array<bigint>")).otherwise(term_hashes(tail))
+    hashed = words.select(*keys, "_m", F.size("_t").alias("_own"), F.concat("_t", rest).alias("_hashes"))
+    kinds = F.when(F.col("_at") < F.col("_m"), F.array(F.lit(0), F.lit(1))).when(F.col("_at") < F.col("_own"), F.array(F.lit(0))).when(F.col("_at").isNotNull(), F.array(F.lit(1)))
+    made = sums(hashed, keys, F.coalesce(kinds, F.array(F.lit(0), F.lit(1))))
+    of = lambda e: F.coalesce(F.max(F.when(F.col("_e") == e, F.col("_fp"))), F.lit(0).cast("long"))
+    return made.groupBy(*keys).agg(of(0).alias("fp"), of(1).alias("edited_fp"))
 
 
 def hex16(fp: Column) -> Column:
@@ -82,75 +104,70 @@ def within(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     return a.join(b, accept).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def in_order(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, text, _tie, _bucket: documents dealt into buckets of consecutive doc_ids (null ids first,
-    equal ids by a hash of their text) with about bucket_bytes of text each. The bucket edges are
-    percentiles of the ids; a bucket is a group for windows, so no window spans the table."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = max(1, -(-size // bucket_bytes))
-    edges = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
-    return rows.withColumn("_tie", F.xxhash64("text")).withColumn("_bucket", _bucket(edges).cast("int"))
-
-
-def _bucket(edges: list[int]) -> Column:
-    """How many edges are below doc_id, by binary search written as nested conditions."""
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """KEY, text, _copies: documents with equal ids and texts are one row."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(doc_id.isNotNull().alias("_known"), F.coalesce(doc_id, F.lit(0)).alias("_id"), text.alias("text"))
+    rows = rows.select("_known", "_id", F.xxhash64("text").alias("_tie"), F.length("text").alias("_size"), "text")
+    return rows.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("_copies"))
 
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > F.lit(edges[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
 
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(search(0, len(edges)))
+def followed(texts: DataFrame) -> DataFrame:
+    """KEY and next, the KEY of the text that follows: null ids first, then by id, equal ids by a hash of their text; the
+    first follows the last. Only keys are ordered, in ranges; the one window over the table has a row a range."""
+    stored = numbered(texts.select(*KEY), *KEY, name="order")
+    order = Window.orderBy("_part")
+    key = F.struct(*KEY)
+    heads = stored.filter("_at = 0").select("_part", key.alias("_head"))
+    first = F.first("_head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = heads.select("_part", F.coalesce(F.lead("_head").over(order), first).alias("_after"))
+    lead = F.lead(key).over(Window.partitionBy("_part").orderBy("_at"))
+    linked = stored.withColumn("next", lead).join(after, "_part").select(*KEY, F.coalesce("next", "_after").alias("next"))
+    return materialize(linked, "followed")
 
 
-def around(heads: DataFrame, value: str) -> DataFrame:
-    """bucket, after: the value of the first row of the next bucket, and of the first for the last. heads: a
-    row per bucket."""
-    order = Window.orderBy("bucket")
-    first = F.first(value).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return heads.select("bucket", F.coalesce(F.lead(value).over(order), first).alias("after"))
-
-
-def report(docs: DataFrame, radius: int = 3, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def report(docs: DataFrame, radius: int = 3) -> DataFrame:
     """Fingerprints of every document and of its edited text, in which the last quarter of the code
     points is replaced by the first as many of the next document.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and
     near_links: how many other distinct fingerprints of documents are within radius bits. Texts
     without words have fingerprint zero, null texts count as empty, null ids come first, repeated
-    rows follow one another, a single document is its own next; other columns are ignored; an
-    empty table gives no rows.
+    rows follow one another, a single document is its own next; very long texts are taken whole, their
+    votes in stretches; other columns are ignored; an empty table gives no rows.
+
+    Texts meet the beginning of the next one by equality of keys; rows of one id are spread by
+    their texts, and rows equal in both are worked on once.
     """
-    rows = in_order(docs, bucket_bytes)
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "_tie")
-    firsts = materialize(rows.groupBy("_bucket").agg(F.min(place).alias("p")).select(F.col("_bucket").alias("bucket"), F.col("p.doc_id").alias("first_id"), F.col("p._tie").alias("first_tie")), "firsts")
-    few = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
-    heads = rows.join(few, rows["doc_id"].eqNullSafe(few["first_id"]) & (rows["_tie"] == few["first_tie"])).select("bucket", "text").dropDuplicates(["bucket"])
-    heads = around(materialize(heads, "heads"), "text")
-
-    order = Window.partitionBy("_bucket").orderBy(F.col("doc_id").asc_nulls_first(), "_tie")
-    rows = rows.withColumn("_nth", F.row_number().over(order)).withColumn("_next", F.lead("text").over(order))
-    rows = rows.join(heads, rows["_bucket"] == heads["bucket"], "left").withColumn("_next", F.coalesce("_next", "after"))
-    n = F.length("text")
-    quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("_next"), F.lit(1), quarter))
-    rows = rows.select("_bucket", "_nth", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    texts = distinct_texts(docs)
+    linked = followed(texts)
+    quarter = F.floor(F.col("_size") / 4).cast("int")
+    # a text's beginning, sent to the text before it
+    wanted = linked.select(*[F.col(f"next.{k}").alias(k) for k in KEY], F.struct(*KEY).alias("_to"), quarter.alias("_quarter"))
+    sent = texts.join(wanted, KEY).select(*[F.col(f"_to.{k}").alias(k) for k in KEY], F.substring(F.col("text"), F.lit(1), F.col("_quarter")).alias("_head"))
+    rows = texts.join(sent, KEY)
+    # of several copies all but the last are followed by a copy
+    last = F.struct(F.lit(True).alias("last"), F.lit(1).cast("long").alias("times"), F.col("_head").alias("head"))
+    others = F.struct(F.lit(False).alias("last"), (F.col("_copies") - 1).alias("times"), F.substring(F.col("text"), F.lit(1), quarter).alias("head"))
+    rows = rows.select(*KEY, "text", F.explode(F.when(F.col("_copies") > 1, F.array(last, others)).otherwise(F.array(last))).alias("_v"))
+    kept = F.col("_size") - quarter
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), kept), F.col("_v.head"))
+    rows = rows.select(*KEY, F.col("_v.last").alias("last"), F.col("_v.times").alias("times"), kept.alias("_kept"), "text", edited.alias("edited"))
+    keys = [*KEY, "last", "times", "sha", "_kept"]
     rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)))
-    both = F.array(F.struct(F.lit(False).alias("e"), F.col("text").alias("t")), F.struct(F.lit(True).alias("e"), F.col("edited").alias("t")))
-    keys = ["_bucket", "_nth", "doc_id", "n_chars", "sha"]
-    made = fingerprint(rows.select(*keys, F.explode(both).alias("v")).select(*keys, F.col("v.e").alias("e"), F.col("v.t").alias("t")), [*keys, "e"], "t")
-    own = made.groupBy(*keys).agg(F.max(F.when(~F.col("e"), F.col("_fp"))).alias("fp"), F.max(F.when(F.col("e"), F.col("_fp"))).alias("edited_fp"))
-    own = materialize(own, "fingerprints")
+    own = materialize(both_fingerprints(rows, keys, "_kept"), "fingerprints")
 
     pairs = within(own.select("fp"), radius)
     links = materialize(pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("linked")).agg(F.count("*").alias("near_links")), "links")
-    after = around(own.filter("_nth = 1").select(F.col("_bucket").alias("bucket"), "fp"), "fp")
-    own = own.withColumn("_next", F.lead("fp").over(Window.partitionBy("_bucket").orderBy("_nth"))).join(after, own["_bucket"] == after["bucket"], "left")
-    own = own.withColumn("_next", F.coalesce("_next", "after")).join(links, own["fp"] == links["linked"], "left")
+    fps = own.filter("last").select(F.struct(*KEY).alias("next"), F.col("fp").alias("_next"))
+    own = own.join(linked.join(fps, "next").select(*KEY, "_next"), KEY).withColumn("_next", F.when(F.col("last"), F.col("_next")).otherwise(F.col("fp")))
+    own = own.join(links, own["fp"] == links["linked"], "left")
+    # as many rows as there are copies, at most 4096 in one array
+    own = own.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / 4096))).alias("_g"))
+    own = own.select("*", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(4096), F.col("times") - 4096 * F.col("_g")).cast("int"))).alias("_one"))
     return own.select(
-        "doc_id", "n_chars",
+        F.when(F.col("_known"), F.col("_id")).alias("doc_id"),
+        F.col("_size").cast("long").alias("n_chars"),
         F.lower(F.hex("sha")).alias("edited_sha256"),
         hex16(F.col("fp")).alias("fingerprint"),
         hex16(F.col("edited_fp")).alias("edited_fingerprint"),

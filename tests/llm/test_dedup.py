@@ -88,7 +88,7 @@ def test_fingerprints_of_edited_texts(spark, docs_of):
     words = ["".join(rng.choice(list("abcdefgé"), 5)) for _ in range(300)]
     texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 2, 5, 40, 400, 400, 3000)] + ["\U0001f600 漢字 x " * 50]
     for rows in ([(3 * i, t) for i, t in enumerate(texts)], [(1, "only one here")], [(None, "a b c d e"), (2, None), (2, None)]):
-        got = fingerprints.report(docs_of(rows), bucket_bytes=3000).collect()
+        got = fingerprints.report(docs_of(rows)).collect()
         assert len(got) == len(rows)
         for k, (i, t) in enumerate(rows):
             if rows[0][0] is None:
@@ -105,6 +105,48 @@ def test_fingerprints_of_edited_texts(spark, docs_of):
     assert fingerprints.report(docs_of([]), 3).count() == 0
 
 
+def test_fingerprints_by_brute_force(spark, docs_of):
+    """Every column against plain Python, on null, empty, repeated, tied and long rows."""
+    import hashlib
+
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefgé"), 4)) for _ in range(60)]
+    long = " ".join(rng.choice(words, 500))
+    rows = [(None, "no id"), (None, "no id"), (None, "another"), (-5, ""), (0, None), (1, " \n "), (2, "one"), (2, "one"), (2, "one"), (2, "two words"), (3, long), (4, long + " more"), (4, "x" * 9000)]
+    rows += [(5, "abcd ef"), (6, "a b c d e f g h"), (7, "\U0001f600 漢字 ΟΔΟΣ x y " * 9), (9, long), (2**62, "word " * 3000)]
+    rows += [(100 + i, " ".join(rng.choice(words, int(n)))) for i, n in enumerate(rng.integers(1, 40, 120))]
+
+    texts = {t or "" for _, t in rows}
+    ties = dict(tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t)").collect())
+    ordered = sorted(((i is not None, i or 0, ties[t or ""], t or "") for i, t in rows), key=lambda r: r[:3])
+    pairs = [(i if known else None, t, ordered[(k + 1) % len(ordered)][3]) for k, (known, i, _, t) in enumerate(ordered)]
+    edited = [t[: len(t) - len(t) // 4] + after[: len(t) // 4] for _, t, after in pairs]
+
+    def terms(text):
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        ws = [w for w in re.split(r"[\x20\x09-\x0D]+", lowered) if w]
+        return list(zip(ws, ws[1:], strict=False)) or [(w, None) for w in ws]
+
+    wanted = sorted({x for t in [*texts, *edited] for x in terms(t)}, key=repr)
+    hashes = {(r["a"], r["b"]): r["h"] for r in spark.createDataFrame(wanted, "a string, b string").selectExpr("a", "b", "xxhash64(a, b) h").collect()}
+
+    def plain(text):
+        hs = np.array([hashes[x] for x in terms(text)], "<i8")
+        bits = np.unpackbits(hs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=int) if len(hs) else np.zeros(64, int)
+        return sum(1 << i for i in range(64) if 2 * bits[i] > len(hs))
+
+    fp = {t: plain(t) for t in {*texts, *edited}}
+    alike = lambda a, b: 1 - (a ^ b).bit_count() / 64
+    near = {a: sum(0 < (a ^ b).bit_count() <= 3 for b in {fp[t] for t in texts}) for a in fp.values()}
+    want = [
+        (i, len(t), hashlib.sha256(e.encode()).hexdigest(), f"{fp[t]:016x}", f"{fp[e]:016x}", alike(fp[t], fp[e]), alike(fp[t], fp[after]), near[fp[t]])
+        for (i, t, after), e in zip(pairs, edited, strict=True)
+    ]
+    got = [tuple(r) for r in fingerprints.report(docs_of(rows)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert [tuple(r)[:2] for r in fingerprints.report(docs_of([(1, "a")] * 5000).repartition(3)).collect()] == [(1, 1)] * 5000
+
+
 def test_fingerprint_votes_over_several_stretches(docs_of, spark):
     text = " ".join(f"w{i % 977}x{i % 13}" for i in range(95_000))
     got = fingerprints.report(docs_of([(1, text), (2, text.upper())])).collect()
