@@ -113,16 +113,16 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def followed(texts: DataFrame) -> DataFrame:
-    """KEY and next, the KEY of the text that follows: null ids first, then by id, equal ids by a hash of their text; the
+    """KEY, _copies and next, the KEY of the text that follows: null ids first, then by id, equal ids by a hash of their text; the
     first follows the last. Only keys are ordered, in ranges; the one window over the table has a row a range."""
-    stored = numbered(texts.select(*KEY), *KEY, name="order")
+    stored = numbered(texts.select(*KEY, "_copies"), *KEY, name="order")
     order = Window.orderBy("_part")
     key = F.struct(*KEY)
     heads = stored.filter("_at = 0").select("_part", key.alias("_head"))
     first = F.first("_head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     after = heads.select("_part", F.coalesce(F.lead("_head").over(order), first).alias("_after"))
     lead = F.lead(key).over(Window.partitionBy("_part").orderBy("_at"))
-    linked = stored.withColumn("next", lead).join(after, "_part").select(*KEY, F.coalesce("next", "_after").alias("next"))
+    linked = stored.withColumn("next", lead).join(after, "_part").select(*KEY, "_copies", F.coalesce("next", "_after").alias("next"))
     return materialize(linked, "followed")
 
 
@@ -141,10 +141,11 @@ def report(docs: DataFrame, radius: int = 3) -> DataFrame:
     """
     texts = distinct_texts(docs)
     linked = followed(texts)
+    texts = texts.drop("_copies")  # both joins then read one shuffle of the texts
     quarter = F.floor(F.col("_size") / 4).cast("int")
     # a text's beginning, sent to the text before it
-    wanted = linked.select(*[F.col(f"next.{k}").alias(k) for k in KEY], F.struct(*KEY).alias("_to"), quarter.alias("_quarter"))
-    sent = texts.join(wanted, KEY).select(*[F.col(f"_to.{k}").alias(k) for k in KEY], F.substring(F.col("text"), F.lit(1), F.col("_quarter")).alias("_head"))
+    wanted = linked.select(*[F.col(f"next.{k}").alias(k) for k in KEY], F.struct(*KEY).alias("_to"), quarter.alias("_quarter"), "_copies")
+    sent = texts.join(wanted, KEY).select(*[F.col(f"_to.{k}").alias(k) for k in KEY], F.substring(F.col("text"), F.lit(1), F.col("_quarter")).alias("_head"), "_copies")
     rows = texts.join(sent, KEY)
     # of several copies all but the last are followed by a copy
     last = F.struct(F.lit(True).alias("last"), F.lit(1).cast("long").alias("times"), F.col("_head").alias("head"))
