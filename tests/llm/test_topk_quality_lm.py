@@ -39,6 +39,42 @@ def test_topk_is_exact(spark):
     assert topk.topk(empty, empty).count() == 0
 
 
+def test_topk_of_repeated_and_odd_rows(spark):
+    rows = [(2, [9]), (2, [3]), (None, [50]), (4, None), (5, [1]), (5, [1]), (6, [2, 0]), (6, [2]), *[(7, [8])] * 9]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "id long, v array<long>, tag string, query int")
+    got = topk.topk(df, df, k=4)
+    kept = [(i, v) for i, v in rows if i is not None and v is not None]
+    want = []
+    for q in {(i, tuple(v)) for i, v in kept}:
+        others = list(kept)
+        others.remove((q[0], list(q[1])))
+        ranked = sorted((-v[0] * q[1][0], i) for i, v in others)[:4]
+        want += [(q[0], n + 1, i, -s) for n, (s, i) in enumerate(ranked)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert topk.topk(df, df.filter("id > 99")).count() == 0
+
+
+def test_annuli_far_from_a_query_are_passed_over():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 200, (24, 16))
+    x = centres[rng.integers(0, 24, 4000)] + rng.normal(0, 6, (4000, 16))
+    longest = np.sqrt((x * x).sum(1).max())
+    lift = lambda x: np.hstack([x, np.sqrt(np.maximum(0, longest**2 - (x * x).sum(1)))[:, None]])
+    pivots = lift(centres * np.minimum(1, longest / np.sqrt((centres**2).sum(1)))[:, None])
+    d = np.sqrt(((lift(x)[:, None, :] - pivots) ** 2).sum(2))
+    cell = d.argmin(1)
+    used, at, n = np.unique(cell, return_inverse=True, return_counts=True)
+    ends = [np.array([f(d[at == c], axis=0) for c in range(len(used))]) for f in (np.min, np.max)]
+    norm = np.array([np.sqrt((x[at == c] ** 2).sum(1)).max() for c in range(len(used))])
+    known = topk.Annuli(pivots, longest, *ends, norm, used, n)
+    q = x[::50]
+    bound, _ = known.bounds(q)
+    real = np.sqrt(((lift(x) - np.hstack([q, np.zeros((len(q), 1))])[:, None, :]) ** 2).sum(2))
+    assert (bound[:, at] <= real).all()
+    reach = np.sort(real, axis=1)[:, 5]
+    assert ((bound <= reach[:, None]) @ n).sum() < 0.25 * real.size
+
+
 def test_integral_vectors(spark):
     rows = [(1, [0.5, -0.001]), (2, None), (3, [1.0, None]), (4, [float("nan")]), (5, [float("inf")]), (6, [])]
     got = topk.integral(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
