@@ -35,13 +35,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts the lineage and outlives executors."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as a table in the shared folder and read again, and the table's path, for `remove`."""
     spark = df.sparkSession
     small_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: cuts the lineage and outlives executors."""
+    return stored(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a `stored` table whose successor is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def numbered(df: DataFrame, *order: str, name: str = "numbered", partitions: int | None = None) -> DataFrame:
