@@ -74,6 +74,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     groups = rows.filter("full is not null").groupBy("full", "length").agg(first.alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     groups = groups.select(F.col("full").alias("_full"), F.col("length").alias("_length"), F.col("_first.doc_id").alias("_keep"), F.col("_first.row").alias("_keep_row"), "_n")
+    groups = materialize(groups, "groups")  # a join of stored tables, whose hot keys Spark can split
     own = F.coalesce("full", F.col("row").cast("string"))  # rows without a full hash meet nothing, and do not all meet in one task
     met = rows.join(groups, (own == F.col("_full")) & (F.col("length") == F.col("_length")), "left")
     alone = F.col("_n").isNull()
