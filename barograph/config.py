@@ -24,6 +24,7 @@ class Analysis:
     trend: tuple[int, int] = (50, 200)
     regime: tuple[float, float, int] = (0.33, 0.66, 20)
     correlation: int = 60
+    block: str | None = "year"  # the calendar unit that long series are cut into; None: an asset is never cut
 
 
 @dataclass(frozen=True)

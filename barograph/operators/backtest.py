@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import CONFIG, KEYS
-from ..functions.windows import expanding, growth, over, ratio
+from ..functions.kept import kept
+from ..functions.series import BLOCK, framed, running
+from ..functions.windows import growth, over, ratio
 from .indicators import rsi, sma
 from .returns import TD, annual, total
 from .volatility import annualized
@@ -21,7 +23,8 @@ from .volatility import annualized
 
 class Strategy(Protocol):
     """Anything with signal(df, by) that adds `signal`, the wanted position (0 or 1) of each bar, known at
-    its close."""
+    its close. A strategy that looks at no more than some number of earlier bars may say so as `rows`; its signal then
+    takes block too (None: plain windows), and a backtest gets signals and positions from the same frames."""
 
     def signal(self, df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame: ...
 
@@ -41,8 +44,13 @@ class MovingAverageCrossover:
         if self.fast >= self.slow:
             raise ValueError("fast must be below slow")
 
-    def signal(self, df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-        return df.withColumn("signal", F.when(sma(self.fast, "close", by) > sma(self.slow, "close", by), 1.0).otherwise(0.0))
+    @property
+    def rows(self) -> int:
+        return self.slow - 1
+
+    def signal(self, df: DataFrame, by: Sequence[str] = KEYS, block: str | None = BLOCK) -> DataFrame:
+        above = lambda d, keys: d.withColumn("signal", F.when(sma(self.fast, "close", keys) > sma(self.slow, "close", keys), 1.0).otherwise(0.0))
+        return framed(df, self.rows, above, by, block=block)
 
     def params(self) -> dict[str, str]:
         return {"fast": str(self.fast), "slow": str(self.slow)}
@@ -64,11 +72,12 @@ class RSIMeanReversion:
         if self.entry >= self.exit:
             raise ValueError("entry must be below exit")
 
-    def signal(self, df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-        df = rsi(df, self.period, "close", "_rsi", by)
+    def signal(self, df: DataFrame, by: Sequence[str] = KEYS, block: str | None = BLOCK) -> DataFrame:
+        df = rsi(df, self.period, "close", "_rsi", by, block)
         turn = F.when(F.col("_rsi") < self.entry, 1.0).when(F.col("_rsi") > self.exit, 0.0)
-        held = F.coalesce(F.last(turn, ignorenulls=True).over(expanding(by)), F.lit(0.0))
-        return df.withColumn("signal", F.when(F.col("_rsi").isNull(), 0.0).otherwise(held)).drop("_rsi")
+        df = running(df, {"_held": ("last", turn)}, by, block=block)
+        held = F.coalesce("_held", F.lit(0.0))
+        return df.withColumn("signal", F.when(F.col("_rsi").isNull(), 0.0).otherwise(held)).drop("_rsi", "_held")
 
     def params(self) -> dict[str, str]:
         return {"period": str(self.period), "entry": str(self.entry), "exit": str(self.exit)}
@@ -125,32 +134,39 @@ def split_dev_oos(df: DataFrame, dev: tuple[date, date] = CONFIG.backtest.dev, o
     return df.withColumn("segment", segment).filter("segment is not null")
 
 
-def run_backtest(df: DataFrame, strategy: Strategy | None, capital: float | None = None, costs: CostModel | None = None, by: Sequence[str] = KEYS) -> DataFrame:
+def run_backtest(df: DataFrame, strategy: Strategy | None, capital: float | None = None, costs: CostModel | None = None, by: Sequence[str] = KEYS, block: str | None = BLOCK) -> DataFrame:
     """Daily rows: close, signal, ret, position (yesterday's signal), turnover, cost, gross_ret, net_ret,
     equity, gross_equity, benchmark. strategy None takes the column signal of df (NULL is 0)."""
     capital, costs = capital or CONFIG.backtest.capital, costs or CostModel()
     df = df.filter(F.col("close").isNotNull())
-    df = strategy.signal(df, by) if strategy else df
-    w = over(by)
-    df = df.select(*by, "date", "close", F.coalesce(F.col("signal").cast("double"), F.lit(0.0)).alias("signal"))
-    df = df.withColumns({"ret": F.coalesce(growth("close", F.lag("close").over(w)), F.lit(0.0)), "position": F.coalesce(F.lag("signal").over(w), F.lit(0.0))})
-    df = df.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0.0))))
+    rows = 0 if strategy is None else getattr(strategy, "rows", None)
+    if rows is None:
+        df, strategy, rows = kept(strategy.signal(df, by), "signals"), None, 0
+    own = [*by, "date", "close", "signal"]
+
+    def positions(d: DataFrame, keys: list[str]) -> DataFrame:
+        d = d if strategy is None else strategy.signal(d, keys, None)
+        w = over(keys)
+        d = d.withColumn("signal", F.coalesce(F.col("signal").cast("double"), F.lit(0.0)))
+        d = d.withColumns({"ret": F.coalesce(growth("close", F.lag("close").over(w)), F.lit(0.0)), "position": F.coalesce(F.lag("signal").over(w), F.lit(0.0))})
+        return d.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0.0))))
+
+    df = framed(df.select(*(c for c in df.columns if c in own or strategy)), rows + 2, positions, by, block=block).select(*own, "ret", "position", "turnover")
     df = df.withColumn("cost", F.col("turnover") * costs.fraction).withColumn("gross_ret", F.col("position") * F.col("ret"))
     df = df.withColumn("net_ret", F.col("gross_ret") - F.col("cost"))
-    compound = lambda c: F.product(1 + F.col(c)).over(expanding(by)) * F.lit(float(capital))
-    return df.withColumns({"equity": compound("net_ret"), "gross_equity": compound("gross_ret"), "benchmark": compound("ret")})
+    made = {"equity": "net_ret", "gross_equity": "gross_ret", "benchmark": "ret"}
+    df = running(df, {e: ("product", 1 + F.col(r)) for e, r in made.items()}, by, block=block)
+    return df.withColumns({e: F.col(e) * F.lit(float(capital)) for e in made})
 
 
-def extract_trades(daily: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
+def extract_trades(daily: DataFrame, by: Sequence[str] = KEYS, block: str | None = BLOCK) -> DataFrame:
     """Spans from the first bar with position 1 to the first with 0 (included, so the exit's cost is in), or to
     the last bar; other positions neither open nor close one: trade_id, entry_date, exit_date, entry_price,
     exit_price, bars_held, ret."""
-    w = over(by)
     turn = F.when(F.col("position") == 1, True).when(F.col("position") == 0, False)
-    rows = daily.withColumns({"_on": F.coalesce(F.last(turn, ignorenulls=True).over(expanding(by)), F.lit(False)), "_n": F.row_number().over(w)})
-    rows = rows.withColumn("_was", F.coalesce(F.lag("_on").over(w), F.lit(False)))
-    rows = rows.withColumn("trade_id", F.sum(F.when(F.col("_on") & ~F.col("_was"), 1).otherwise(0)).over(expanding(by)))
-    rows = rows.filter(F.col("_on") | F.col("_was"))
+    rows = running(daily.select(*by, "date", "close", "net_ret", "position"), {"_on": ("last", turn), "_was": ("before", turn), "_n": ("count", F.lit(1))}, by, block=block)
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_on", "_was")})
+    rows = running(rows.filter(F.col("_on") | F.col("_was")), {"trade_id": ("sum", F.when(F.col("_on") & ~F.col("_was"), 1).otherwise(0))}, by, block=block)
     return rows.groupBy(*by, "trade_id").agg(
         F.min("date").alias("entry_date"),
         F.max("date").alias("exit_date"),
@@ -184,10 +200,10 @@ def performance(equity: str, ret: str, peak: str, rf: float, td: int) -> list[Co
     ]
 
 
-def compute_metrics(daily: DataFrame, trades: DataFrame, rf: float | None = None, equity: str = "equity", ret: str = "net_ret", by: Sequence[str] = KEYS, td: int = TD) -> DataFrame:
+def compute_metrics(daily: DataFrame, trades: DataFrame, rf: float | None = None, equity: str = "equity", ret: str = "net_ret", by: Sequence[str] = KEYS, td: int = TD, block: str | None = BLOCK) -> DataFrame:
     """One row per asset: total_return, cagr, volatility, sharpe, max_drawdown and the trades' statistics."""
     rf = CONFIG.analysis.risk_free if rf is None else rf
-    rows = daily.withColumn("_peak", F.max(equity).over(expanding(by)))
+    rows = running(daily, {"_peak": ("max", equity)}, by, block=block)
     out = rows.groupBy(*by).agg(*performance(equity, ret, "_peak", rf, td))
     return out.join(trade_stats(trades, by), list(by), "left").withColumn("num_trades", F.coalesce("num_trades", F.lit(0)))
 
@@ -196,14 +212,14 @@ def compute_metrics(daily: DataFrame, trades: DataFrame, rf: float | None = None
 METRICS = ("total_return", "cagr", "volatility", "sharpe", "max_drawdown", "win_rate", "num_trades", "avg_trade_return", "profit_factor")
 
 
-def metrics_bundle(daily: DataFrame, rf: float | None = None, by: Sequence[str] = KEYS, td: int = TD) -> DataFrame:
+def metrics_bundle(daily: DataFrame, rf: float | None = None, by: Sequence[str] = KEYS, td: int = TD, block: str | None = BLOCK) -> DataFrame:
     """net, gross and benchmark metrics, a row each per asset; gross and net share the net trades, the
     benchmark counts as one trade without statistics. One pass over daily for all three, one for the trades."""
     rf = CONFIG.analysis.risk_free if rf is None else rf
     kinds = {"net": ("equity", "net_ret"), "gross": ("gross_equity", "gross_ret"), "benchmark": ("benchmark", "ret")}
-    rows = daily.withColumns({f"_peak_{k}": F.max(e).over(expanding(by)) for k, (e, _) in kinds.items()})
+    rows = running(daily, {f"_peak_{k}": ("max", e) for k, (e, _) in kinds.items()}, by, block=block)
     own = [c.alias(f"{k}_{i}") for k, (e, r) in kinds.items() for i, c in enumerate(performance(e, r, f"_peak_{k}", rf, td))]
-    out = rows.groupBy(*by).agg(*own).join(trade_stats(extract_trades(daily, by), by), list(by), "left")
+    out = rows.groupBy(*by).agg(*own).join(trade_stats(extract_trades(daily, by, block), by), list(by), "left")
     each = [F.struct(F.lit(k).alias("kind"), *(F.col(f"{k}_{i}").alias(m) for i, m in enumerate(METRICS[:5]))) for k in kinds]
     out = out.select("*", F.explode(F.array(*each)).alias("_m")).select(*by, "_m.*", "num_trades", "win_rate", "avg_trade_return", "profit_factor")
     traded = F.col("kind") != "benchmark"

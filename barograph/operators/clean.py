@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PRICES
-from ..functions.windows import clean_number, expanding, growth, over, ratio
+from ..functions.series import BLOCK, running
+from ..functions.windows import clean_number, growth, ratio
 from ..schema import DataValidationError
 
 _CANONICAL = {"Date": "date", "Open": "open", "High": "high", "Low": "low", "Close": "close", "Adj Close": "adj_close", "Volume": "volume"}
@@ -52,16 +53,14 @@ def _staged(raw: DataFrame) -> DataFrame:
     return df.withColumn("_kept", F.col("_dated") & ~F.col("_repeat") & ~F.col("_bad") & F.col("close").isNotNull())
 
 
-def clean_bars(raw: DataFrame) -> DataFrame:
+def clean_bars(raw: DataFrame, block: str | None = BLOCK) -> DataFrame:
     """One row per asset and time, in the order of the canonical columns.
 
     Undated rows go; of rows with one time the last by ingest_seq stays; text becomes numbers or
     NULL; rows whose four prices contradict each other or are not positive go, as do rows without
     close; missing prices repeat the last known; missing volume is 0.
     """
-    df = _staged(raw).filter("_kept")
-    fills = {c: F.last(c, ignorenulls=True).over(expanding()) for c in PRICES if c in df.columns}
-    df = df.withColumns(fills)
+    df = running(_staged(raw).filter("_kept"), {c: ("last", c) for c in PRICES if c in raw.columns or c == "adj_close"}, block=block)
     if "volume" in df.columns:
         df = df.withColumn("volume", F.coalesce("volume", F.lit(0.0)))
     return df.select("asset_key", "date", *(c for c in (*PRICES, "volume") if c in df.columns))
@@ -92,14 +91,12 @@ def price_column(df: DataFrame) -> str:
     return "adj_close" if "adj_close" in df.columns else "close"
 
 
-def add_returns(df: DataFrame, price: str | None = None, fill: bool = True) -> DataFrame:
+def add_returns(df: DataFrame, price: str | None = None, fill: bool = True, block: str | None = BLOCK) -> DataFrame:
     """Adds ret and log_ret. With fill (the default), a missing price counts as unchanged."""
-    p = F.col(price or price_column(df))
-    if fill:
-        p = F.last(p, ignorenulls=True).over(expanding())
-    df = df.withColumn("_p", p)
-    before = F.lag("_p").over(over())
-    return df.withColumn("ret", growth("_p", before)).withColumn("log_ret", F.ln(ratio("_p", before))).drop("_p")
+    p = price or price_column(df)
+    df = running(df, {"_p": ("last", p), "_q": ("before", p)} if fill else {"_q": ("lag", p)}, block=block)
+    now = "_p" if fill else p
+    return df.withColumn("ret", growth(now, "_q")).withColumn("log_ret", F.ln(ratio(now, "_q"))).drop("_p", "_q")
 
 
 def file_key(ticker: str) -> str:

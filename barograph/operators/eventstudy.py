@@ -9,28 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import growth, over
+from ..functions.series import BLOCK, block_of, running
+from ..functions.windows import growth
+from .asof import asof
 from .clean import price_column
 
 
-def numbered(bars: DataFrame, price: str | None = None) -> DataFrame:
+def numbered(bars: DataFrame, price: str | None = None, block: str | None = BLOCK) -> DataFrame:
     """asset_key, date, rn (from 1 in date order), price: bars with a known price."""
     p = price or price_column(bars)
     rows = bars.filter(F.col(p).isNotNull()).select("asset_key", "date", F.col(p).alias("price"))
-    return rows.withColumn("rn", F.row_number().over(over()))
+    return running(rows, {"rn": ("count", F.lit(1))}, block=block)
 
 
-def asof_backward(events: DataFrame, bars: DataFrame) -> DataFrame:
+def dealt(events: DataFrame, bars: DataFrame, unit: str = "year") -> DataFrame:
+    """asset_key, event_date: each distinct event date for every asset whose bars had begun by the end of its calendar
+    unit. Dates and assets meet by the unit, which an asset has from its first bar on."""
+    dates = events.select(F.col("date").cast("timestamp_ntz").alias("event_date")).distinct().filter("event_date is not null").withColumn("_unit", block_of("event_date", unit))
+    newest = dates.agg(F.max("_unit")).scalar()
+    begun = bars.groupBy("asset_key").agg(block_of(F.min(F.col("date").cast("timestamp_ntz")), unit).alias("_a")).filter(F.col("_a") <= newest)
+    step = F.expr(f"interval {3 if unit == 'quarter' else 1} {'month' if unit == 'quarter' else unit}")
+    spans = begun.select("asset_key", F.explode(F.sequence("_a", newest, step)).alias("_unit"))
+    return dates.join(spans, "_unit").select("asset_key", "event_date")
+
+
+def asof_backward(events: DataFrame, bars: DataFrame, block: str | None = BLOCK) -> DataFrame:
     """event_date, asset_key, t0: the number of each asset's last bar on or before the event, however
-    old; no row before the first bar. Events are dealt to every asset (a small dimension), then both
-    sides are merged in time order and the last bar is carried forward; a bar goes before an event
-    of the same time."""
-    dates = events.select(F.col("date").cast("timestamp_ntz").alias("event_date")).distinct()
-    asked = dates.crossJoin(bars.select("asset_key").distinct()).select("asset_key", F.col("event_date").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("rn"))
-    known = bars.select("asset_key", F.col("date").cast("timestamp_ntz").alias("at"), F.lit(0).alias("kind"), "rn")
-    merged = Window.partitionBy("asset_key").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = known.unionByName(asked).withColumn("t0", F.last("rn", ignorenulls=True).over(merged))
-    return rows.filter("kind = 1 and t0 is not null").select("asset_key", F.col("at").alias("event_date"), "t0")
+    old; no row before the first bar."""
+    met = asof(dealt(events, bars), bars.select("asset_key", F.col("date").cast("timestamp_ntz").alias("date"), "rn"), left_time="event_date", block=block)
+    return met.select("asset_key", "event_date", F.col("match.rn").alias("t0")).filter("t0 is not null")
 
 
 def event_windows(bars: DataFrame, events: DataFrame, pre: int = 5, post: int = 5, price: str | None = None) -> DataFrame:

@@ -8,18 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, KEYS
-from ..functions.windows import expanding, growth, over
+from ..functions.series import BLOCK, running
+from ..functions.windows import growth
 
 TD = CONFIG.analysis.trading_days
 
 
-def daily_returns(df: DataFrame, price: str = "adj_close", out: str = "ret", by: Sequence[str] = KEYS) -> DataFrame:
-    return df.withColumn(out, growth(price, F.lag(price).over(over(by))))
+def daily_returns(df: DataFrame, price: str = "adj_close", out: str = "ret", by: Sequence[str] = KEYS, block: str | None = BLOCK) -> DataFrame:
+    return running(df, {"_before": ("lag", price)}, by, block=block).withColumn(out, growth(price, "_before")).drop("_before")
 
 
-def cumulative_returns(df: DataFrame, ret: str = "ret", out: str = "cum_ret", by: Sequence[str] = KEYS) -> DataFrame:
+def cumulative_returns(df: DataFrame, ret: str = "ret", out: str = "cum_ret", by: Sequence[str] = KEYS, block: str | None = BLOCK) -> DataFrame:
     """Compounded since the start; an unknown return counts as 0."""
-    return df.withColumn(out, F.product(1 + F.coalesce(F.col(ret), F.lit(0.0))).over(expanding(by)) - 1)
+    return running(df, {out: ("product", 1 + F.coalesce(F.col(ret), F.lit(0.0)))}, by, block=block).withColumn(out, F.col(out) - 1)
 
 
 def numbered_back(df: DataFrame, price: str, by: Sequence[str] = KEYS) -> DataFrame:

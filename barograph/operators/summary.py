@@ -49,8 +49,8 @@ def market_overview(bars: DataFrame, dimension: DataFrame | None = None) -> Data
     display order if a dimension is given. One pass: all windows share the asset's exchange; after it only
     partial aggregates move."""
     p = price_column(bars)
-    df = bars if "ret" in bars.columns else add_returns(bars)
-    df = with_volatility(numbered_returns(numbered_back(trend_series(df, p), p)))
+    df = bars if "ret" in bars.columns else add_returns(bars, block=None)
+    df = with_volatility(numbered_returns(numbered_back(trend_series(df, p, block=None), p)))
     out = df.groupBy("asset_key").agg(
         at_back(p, 0).alias("price"),
         *trailing(p),
@@ -84,8 +84,8 @@ def snapshot(bars: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
     """Per asset: trend, regime, rsi, ret_ytd, max_drawdown, current_drawdown, vol_20d, and observations,
     up to five sentences on them. One pass, like the overview."""
     p = price_column(bars)
-    df = bars if "ret" in bars.columns else add_returns(bars)
-    df = numbered_returns(numbered_back(trend_series(rsi(df, price=p), p), p))
+    df = bars if "ret" in bars.columns else add_returns(bars, block=None)
+    df = numbered_returns(numbered_back(trend_series(rsi(df, price=p, block=None), p, block=None), p))
     df = with_volatility(df.withColumn("_dd", growth(p, F.max(p).over(expanding()))))
     out = df.groupBy("asset_key").agg(
         latest_trend(p).alias("trend"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, KEYS
+from ..functions.series import BLOCK, framed
 from ..functions.windows import gate, rolling
 
 TD = CONFIG.analysis.trading_days
@@ -44,7 +45,12 @@ def realized_volatility(df: DataFrame, window: int, ret: str = "ret", by: Sequen
     return numbered_returns(df, ret, by).groupBy(*by).agg(realized(window, ret, td).alias("vol"))
 
 
-def volatility_frame(df: DataFrame, ret: str = "ret", by: Sequence[str] = KEYS) -> DataFrame:
+def with_volatility(df: DataFrame, windows: dict[str, int], ret: str = "ret", by: Sequence[str] = KEYS, block: str | None = BLOCK) -> DataFrame:
+    """Adds rolling volatilities, given as windows by name."""
+    return framed(df, max(windows.values()) - 1, lambda d, keys: d.withColumns({out: rolling_volatility(n, ret, by=keys) for out, n in windows.items()}), by, block=block)
+
+
+def volatility_frame(df: DataFrame, ret: str = "ret", by: Sequence[str] = KEYS, block: str | None = BLOCK) -> DataFrame:
     """Adds vol_20d and vol_60d."""
     a = CONFIG.analysis
-    return df.withColumns({f"vol_{n}d": rolling_volatility(n, ret, by=by) for n in (a.vol_short, a.vol_long)})
+    return with_volatility(df, {f"vol_{n}d": n for n in (a.vol_short, a.vol_long)}, ret, by, block)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..operators import backtest as bt
 from ..operators import clean, correlation, drawdown, eventstudy, indicators, regime, returns, summary, volatility
+from ..operators.asof import asof
+from ..functions.series import BLOCK
 from ..sources import bars as src
 from ..sources import events as cal
 from . import sql
@@ -31,8 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.add_returns(src.walk_bars(table(spark, sf_dir, "lineitem")))
+def walk(spark: SparkSession, sf_dir: str, block: str | None = BLOCK) -> DataFrame:
+    """block None suits the summaries, which pass over an asset once."""
+    return clean.add_returns(src.walk_bars(table(spark, sf_dir, "lineitem"), block), block=block)
 
 
 def ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +104,12 @@ def cumulative_returns(spark, sf_dir):
 
 @query(sql.TRAILING)
 def trailing_returns(spark, sf_dir):
-    return shown(returns.trailing_returns(walk(spark, sf_dir)))
+    return shown(returns.trailing_returns(walk(spark, sf_dir, None)))
 
 
 @query(sql.PERIOD)
 def period_return(spark, sf_dir):
-    return shown(returns.period_return(walk(spark, sf_dir), 63))
+    return shown(returns.period_return(walk(spark, sf_dir, None), 63))
 
 
 @query(sql.TOTAL)
@@ -156,7 +159,7 @@ def annualized_vol(spark, sf_dir):
 
 @query(sql.REALIZED_VOL)
 def realized_vol(spark, sf_dir):
-    return shown(volatility.realized_volatility(walk(spark, sf_dir), 20))
+    return shown(volatility.realized_volatility(walk(spark, sf_dir, None), 20))
 
 
 @query(sql.DRAWDOWN)
@@ -363,23 +366,23 @@ def events_seed(spark, sf_dir):
 
 @query(sql.TAPE)
 def tape(spark, sf_dir):
-    return shown(summary.tape(walk(spark, sf_dir)))
+    return shown(summary.tape(walk(spark, sf_dir, None)))
 
 
 @query(sql.SPARK)
 def sparkline(spark, sf_dir):
-    return shown(summary.sparkline(walk(spark, sf_dir)))
+    return shown(summary.sparkline(walk(spark, sf_dir, None)))
 
 
 @query(sql.SNAPSHOT)
 def snapshot(spark, sf_dir):
-    out = summary.snapshot(walk(spark, sf_dir)).withColumns({"n_observations": F.size("observations"), "said": F.array_join("observations", " ")})
+    out = summary.snapshot(walk(spark, sf_dir, None)).withColumns({"n_observations": F.size("observations"), "said": F.array_join("observations", " ")})
     return shown(out.drop("observations"))
 
 
 @query(sql.OVERVIEW)
 def market_overview(spark, sf_dir):
-    return shown(summary.market_overview(walk(spark, sf_dir)))
+    return shown(summary.market_overview(walk(spark, sf_dir, None)))
 
 
 @query(sql.STREAM_BARS)
@@ -413,12 +416,12 @@ NAMES = (("A", "Alpha", "A.X", "Equity Index", "USD", "US", "A"), ("Z", "Zeta",
 
 @query(sql.OVERVIEW_NAMED)
 def market_overview_named(spark, sf_dir):
-    return shown(summary.market_overview(walk(spark, sf_dir), schema.assets(spark, NAMES)))
+    return shown(summary.market_overview(walk(spark, sf_dir, None), schema.assets(spark, NAMES)))
 
 
 @query(sql.CARDS)
 def overview_cards(spark, sf_dir):
-    return shown(summary.first_cards(summary.market_overview(walk(spark, sf_dir), schema.assets(spark, NAMES)), 2).select("asset_key", "name", "price", "ret_1"))
+    return shown(summary.first_cards(summary.market_overview(walk(spark, sf_dir, None), schema.assets(spark, NAMES)), 2).select("asset_key", "name", "price", "ret_1"))
 
 
 @query(sql.LOOKUP)
@@ -471,3 +474,45 @@ def formatted_texts(spark, sf_dir):
     gain = F.when(F.dayofmonth("date") == 1, F.lit(float("inf"))).otherwise(F.col("ret") * 7)
     texts = {"change": summary.percent("ret", 2, True), "price": summary.number(F.round(F.col("close") * 100, 6)), "factor": summary.ratio_text(gain), "moved": summary.direction("ret")}
     return rows.withColumns(texts).select("asset_key", F.col("date").cast("date").alias("date"), *texts)
+
+
+def one_long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of lineitem as the ticks of a single asset: a price a second."""
+    second = F.timestamp_seconds(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) + F.col("l_orderkey") % 86400).cast("timestamp_ntz")
+    price = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.sum(F.col("l_quantity").cast("long"))
+    ticks = table(spark, sf_dir, "lineitem").groupBy(second.alias("date")).agg(price.alias("close"))
+    return ticks.select(F.lit("ALL").alias("asset_key"), "date", "close", F.col("close").alias("adj_close"))
+
+
+@query(sql.LONG_SERIES)
+def long_series(spark, sf_dir):
+    """One asset has all the rows: its frames, running and weighted means are cut by month."""
+    df = returns.daily_returns(one_long_series(spark, sf_dir), block="month")
+    df = drawdown.drawdown_series(returns.cumulative_returns(df, block="month"), block="month")
+    df = indicators.ema(indicators.with_sma(df, {"sma_200": 200}, block="month"), 20, block="month")
+    return shown(df, "date", "cum_ret", "peak", "drawdown", "sma_200", "ema", day=False, digits=4)
+
+
+@query(sql.ASOF)
+def asof_orders(spark, sf_dir):
+    """Each event with its user's orders around it: the last before, the first after, the nearest within six hours. Order
+    days become times in the month of the events."""
+    from datetime import timedelta
+
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    at = F.timestamp_seconds(F.lit(1704067200) + day * 1080).cast("timestamp_ntz")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), at.alias("at"), "o_orderkey")
+    ticks = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    how = {"by": ["user_id"], "left_time": "ts", "right_time": "at", "block": "day"}
+    met = asof(ticks, orders, out="prior", **how)
+    met = asof(met, orders, direction="forward", exact=False, out="next", **how)
+    met = asof(met, orders, direction="nearest", tolerance=timedelta(hours=6), out="near", **how)
+    return met.select("event_id", *(F.col(f"{c}.o_orderkey").alias(c) for c in ("prior", "next", "near")))
+
+
+@query(sql.CORR_WIDE)
+def correlation_wide(spark, sf_dir):
+    """Every supplier is an asset: weekly discounts, hundreds of thousands of pairs at larger scales."""
+    week = F.date_trunc("week", "l_shipdate").cast("timestamp_ntz").alias("date")
+    weekly = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("asset_key"), week).agg(F.sum(F.round(F.col("l_discount") * 100)).alias("ret"))
+    return shown(correlation.correlation_matrix(weekly))

@@ -345,3 +345,21 @@ TEXTS = f"""WITH {WALK}, rounded AS (SELECT asset_key, {DAY}, close, round(ret,
 SELECT asset_key, date, coalesce(printf('%+.2f%%', ret * 100), '—') AS change, format('{{:,.2f}}', round(close * 100, 6)) AS price,
        CASE WHEN day(date) = 1 THEN '∞' ELSE coalesce(printf('%.2f', ret * 7), '—') END AS factor,
        CASE WHEN ret > 0 THEN 'up' WHEN ret < 0 THEN 'down' ELSE 'flat' END AS moved FROM rounded"""
+
+LONG_SERIES = f"""WITH ticks AS (SELECT 'ALL' AS asset_key, CAST(l_shipdate AS TIMESTAMP) + to_seconds(l_orderkey % 86400) AS date,
+  sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / sum(CAST(l_quantity AS BIGINT)) AS close FROM lineitem GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER {W} AS k FROM ticks),
+windows AS (SELECT *, close / first_value(close) OVER {U} - 1 AS cum_ret, max(close) OVER {U} AS peak, {sma(200, "sma_200")},
+  list(close) OVER (PARTITION BY asset_key ORDER BY date ROWS 399 PRECEDING) AS recent FROM placed),
+means AS (SELECT *, CASE WHEN k >= 20 THEN list_sum(list_transform(recent, lambda x, i: x * CASE WHEN i = 1 THEN 1.0 ELSE 2.0 / 21 END * pow(19.0 / 21, len(recent) - i))) END AS ema FROM windows)
+SELECT date, {r("cum_ret", digits=4)}, {r("peak", digits=4)}, {r("close / peak - 1", "drawdown", 4)}, {r("sma_200", digits=4)}, {r("ema", digits=4)} FROM means"""
+ASOF = """WITH placed AS (SELECT o_custkey AS user_id, TIMESTAMP '2024-01-01' + to_seconds(1080 * date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))) AS placed_at,
+  max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2),
+met AS (SELECT event_id, ts, p.o_orderkey AS prior, p.placed_at AS prior_at FROM events e ASOF LEFT JOIN placed p ON e.user_id = p.user_id AND e.ts >= p.placed_at),
+after AS (SELECT event_id, p.o_orderkey AS next FROM events e ASOF LEFT JOIN placed p ON e.user_id = p.user_id AND e.ts < p.placed_at),
+upto AS (SELECT event_id, p.o_orderkey AS k, p.placed_at FROM events e ASOF LEFT JOIN placed p ON e.user_id = p.user_id AND e.ts <= p.placed_at),
+both_near AS (SELECT event_id, prior, next, CASE WHEN epoch_us(ts) - epoch_us(prior_at) <= 21600000000 THEN epoch_us(ts) - epoch_us(prior_at) END AS a,
+  CASE WHEN epoch_us(placed_at) - epoch_us(ts) <= 21600000000 THEN epoch_us(placed_at) - epoch_us(ts) END AS b, k FROM met JOIN after USING (event_id) JOIN upto USING (event_id))
+SELECT event_id, prior, next, CASE WHEN b IS NOT NULL AND (a IS NULL OR b < a) THEN k WHEN a IS NOT NULL THEN prior END AS near FROM both_near"""
+CORR_WIDE = f"""WITH walk AS (SELECT CAST(l_suppkey AS VARCHAR) AS asset_key, date_trunc('week', l_shipdate) AS date, sum(round(l_discount * 100)) AS ret FROM lineitem GROUP BY 1, 2),
+{PAIRS}, half AS (SELECT a, b, {PEARSON} AS corr, count(*) AS n FROM pairs GROUP BY 1, 2), {MIRROR} SELECT a, b, {r("corr")}, n FROM whole"""

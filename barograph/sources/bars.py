@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..functions.series import BLOCK, running
 from ..operators.clean import add_returns, clean_bars, cleaning_report, file_key, normalise_columns
 from ..schema import DEFAULT_ASSETS, DataUnavailableError, DataValidationError
 
@@ -174,13 +175,13 @@ def load_asset(
     return Loaded(key, asset, bars, report, how != "fetched", how == "stale")
 
 
-def walk_bars(lineitem: DataFrame) -> DataFrame:
+def walk_bars(lineitem: DataFrame, block: str | None = BLOCK) -> DataFrame:
     """Daily bars by return flag: an exponential walk whose steps are the day's mean discount against 5 %."""
     days = lineitem.groupBy(F.col("l_returnflag").alias("asset_key"), F.col("l_shipdate").alias("date")).agg(
         (F.sum(F.round(F.col("l_discount") * 100).cast("long")) / F.count("*") / 100.0 - 0.05).alias("shock"), F.count("*").cast("double").alias("volume")
     )
-    w = Window.partitionBy("asset_key").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    close = 100 * F.exp(F.sum("shock").over(w))
+    days = running(days, {"_sum": ("sum", "shock")}, block=block)
+    close = 100 * F.exp("_sum")
     return days.select("asset_key", "date", close.alias("close"), close.alias("adj_close"), "volume")
 
 

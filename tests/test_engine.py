@@ -408,7 +408,7 @@ def test_one_exchange_of_bars_in_overviews(spark, sf_dir):
 def test_overview_plan_has_few_shuffles_of_bars(spark, sf_dir):
     from barograph.plans import catalogue
 
-    plan = regime.trend_series(catalogue.walk(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    plan = regime.trend_series(catalogue.walk(spark, sf_dir, None), block=None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(asset_key") == 1
 
 
