@@ -34,8 +34,15 @@ def block_of(time: str | Column, unit: str) -> Column:
     return F.date_trunc(unit, col(time)).cast("timestamp_ntz")
 
 
+def stored_block(unit: str | int) -> str:
+    return f"block_{unit}"
+
+
 def cut(df: DataFrame, unit: str | int, order: str = "date") -> DataFrame:
-    """Adds _block. An order in numbers is cut into ranges of `unit` (of `NUMBERS`, if that is a calendar unit)."""
+    """Adds _block. An order in numbers is cut into ranges of `unit` (of `NUMBERS`, if that is a calendar unit). A table
+    that is stored by blocks of this unit (see `sources.store`) has them as a column, which is used as it is."""
+    if order == "date" and stored_block(unit) in df.columns:
+        return df.withColumn("_block", F.col(stored_block(unit)))
     if isinstance(df.schema[order].dataType, NumericType):
         return df.withColumn("_block", F.floor(F.col(order) / (unit if isinstance(unit, int) else NUMBERS)))
     return df.withColumn("_block", block_of(order, unit))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import date
-from typing import Protocol
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,9 +86,15 @@ class RSIMeanReversion:
         return f"long from RSI{self.period} < {self.entry} to > {self.exit}"
 
 
+def _in_order(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Assets in one task each, in date order: what a function of the user's follows from bar to bar."""
+    return df.repartition(*by).sortWithinPartitions(*by, "date")
+
+
 @dataclass(frozen=True)
 class PandasStrategy:
-    """A user's function from one asset's bars (pandas, in date order) to its signals."""
+    """A user's function from one asset's bars (pandas, in date order) to its signals. The function sees the whole asset,
+    which the task holds in memory; `ChunkedStrategy` does not."""
 
     function: Callable[[pd.DataFrame], pd.Series]
     name: str = "custom"
@@ -109,6 +115,42 @@ class PandasStrategy:
         return self.name
 
 
+@dataclass(frozen=True)
+class ChunkedStrategy:
+    """A user's function from (state, chunk) to (signals, state): an asset's bars come in date order as chunks of at most
+    `rows` bars, with the state that the function returned before (None for the first), so memory does not grow with the
+    asset. Signals that are no numbers are 0."""
+
+    function: Callable[[Any, pd.DataFrame], tuple[pd.Series, Any]]
+    name: str = "custom"
+    rows_a_chunk: int = 10_000
+
+    def signal(self, df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
+        function, keys, most = self.function, list(by), self.rows_a_chunk
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asset, state = None, None
+            for batch in batches:
+                # a batch holds several assets, and an asset several batches
+                change = (batch[keys] != batch[keys].shift()).any(axis=1)
+                for _, bars in batch.groupby(change.cumsum(), sort=False):
+                    own = tuple(bars[keys].iloc[0])
+                    if own != asset:
+                        asset, state = own, None
+                    for start in range(0, len(bars), most):
+                        chunk = bars.iloc[start : start + most].reset_index(drop=True)
+                        signals, state = function(state, chunk)
+                        yield chunk.assign(signal=pd.to_numeric(signals).fillna(0.0).astype(float).to_numpy())
+
+        return _in_order(df, by).mapInPandas(run, StructType([*df.schema.fields, StructField("signal", DoubleType())]))
+
+    def params(self) -> dict[str, str]:
+        return {}
+
+    def describe(self) -> str:
+        return self.name
+
+
 @dataclass(frozen=True)
 class CostModel:
     cost_bps: float = CONFIG.backtest.cost_bps

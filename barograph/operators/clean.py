@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import PRICES
@@ -53,6 +53,14 @@ def _staged(raw: DataFrame) -> DataFrame:
     return df.withColumn("_kept", F.col("_dated") & ~F.col("_repeat") & ~F.col("_bad") & F.col("close").isNotNull())
 
 
+def _filled(staged: DataFrame, block: str | None) -> DataFrame:
+    """The kept rows of a staged table, in canonical columns."""
+    df = running(staged.filter("_kept"), {c: ("last", c) for c in PRICES if c in staged.columns}, block=block)
+    if "volume" in df.columns:
+        df = df.withColumn("volume", F.coalesce("volume", F.lit(0.0)))
+    return df.select("asset_key", "date", *(c for c in (*PRICES, "volume") if c in df.columns))
+
+
 def clean_bars(raw: DataFrame, block: str | None = BLOCK) -> DataFrame:
     """One row per asset and time, in the order of the canonical columns.
 
@@ -60,25 +68,30 @@ def clean_bars(raw: DataFrame, block: str | None = BLOCK) -> DataFrame:
     NULL; rows whose four prices contradict each other or are not positive go, as do rows without
     close; missing prices repeat the last known; missing volume is 0.
     """
-    df = running(_staged(raw).filter("_kept"), {c: ("last", c) for c in PRICES if c in raw.columns or c == "adj_close"}, block=block)
-    if "volume" in df.columns:
-        df = df.withColumn("volume", F.coalesce("volume", F.lit(0.0)))
-    return df.select("asset_key", "date", *(c for c in (*PRICES, "volume") if c in df.columns))
+    return _filled(_staged(raw), block)
+
+
+def _counters(staged: DataFrame) -> dict[str, Column]:
+    """Aggregates over a staged table, by name."""
+    count = lambda c: F.count(F.when(c, 1))
+    holes = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in PRICES if c in staged.columns), F.lit(0))
+    filled = F.coalesce(F.sum(F.when(F.col("_kept"), holes).otherwise(0)), F.lit(0))
+    made = (F.count("*"), count(F.col("_kept")), count(F.col("_repeat")), filled, count(F.col("_bad")))
+    return dict(zip(COUNTERS, made, strict=True))
+
+
+def counted(raw: DataFrame) -> tuple[DataFrame, Observation]:
+    """clean_bars and the counters over all assets, which the pass that first makes the bars observes. Windows are plain,
+    so that it reads raw once."""
+    staged, counters = _staged(raw), Observation("cleaning")
+    return _filled(staged.observe(counters, *(c.alias(name) for name, c in _counters(staged).items())), None), counters
 
 
 def cleaning_report(raw: DataFrame) -> DataFrame:
     """Per asset: rows_in, rows_out, duplicates_removed, missing_filled (NULL prices before filling),
     invalid_ohlc_rows."""
     df = _staged(raw)
-    count = lambda c: F.count(F.when(c, 1))
-    holes = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in PRICES if c in df.columns), F.lit(0))
-    return df.groupBy("asset_key").agg(
-        F.count("*").alias("rows_in"),
-        count(F.col("_kept")).alias("rows_out"),
-        count(F.col("_repeat")).alias("duplicates_removed"),
-        F.sum(F.when(F.col("_kept"), holes).otherwise(0)).alias("missing_filled"),
-        count(F.col("_bad")).alias("invalid_ohlc_rows"),
-    )
+    return df.groupBy("asset_key").agg(*(c.alias(name) for name, c in _counters(df).items()))
 
 
 def rejected_assets(raw: DataFrame) -> DataFrame:

@@ -3,16 +3,22 @@ SQL form for DuckDB. Doubles are rounded on both sides, as sums may differ in th
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.kept import shared_folder
 from ..operators import backtest as bt
 from ..operators import clean, correlation, drawdown, eventstudy, indicators, regime, returns, summary, volatility
 from ..operators.asof import asof
 from ..functions.series import BLOCK
 from ..sources import bars as src
 from ..sources import events as cal
+from ..sources.store import BarTable
 from . import sql
 
 QUERIES: dict = {}
@@ -323,8 +329,6 @@ def backtest_metrics_table(spark, sf_dir):
 
 @query(sql.OOS)
 def backtest_oos(spark, sf_dir):
-    from datetime import date
-
     parts = bt.split_dev_oos(walk(spark, sf_dir), (date(1995, 1, 1), date(1999, 12, 31)), (date(2000, 1, 1), date(2001, 12, 31)))
     by = ["asset_key", "segment"]
     daily = bt.run_backtest(parts, bt.MovingAverageCrossover(), by=by)
@@ -361,7 +365,82 @@ def events_latest(spark, sf_dir):
 
 @query(sql.EVENTS_SEED)
 def events_seed(spark, sf_dir):
-    return cal.seed_events(spark).groupBy("country", "event").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    """The seeded days with what the orders of these days come to; the seed's and the quarters' days in one calendar."""
+    days = cal.import_events(cal.seed_events(spark), quarter_events(spark, sf_dir))
+    return days.groupBy("country", "event", F.year("date").alias("year")).agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+@query(sql.EVENTS_LOG)
+def events_log(spark, sf_dir):
+    """A calendar as a log in the shared folder: seeded with the quarters' days, stored as one, then months uploaded twice
+    and a day added that is there already."""
+    months = table(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("m")).agg(F.min("o_orderdate").cast("date").alias("date"), F.max("o_totalprice").alias("actual"))
+    months = months.select("date", F.lit("US").alias("country"), F.lit(cal.EVENT_TYPES[0]).alias("event"), F.round("actual", 2).alias("actual"))
+    clock = iter(range(1, 100))
+    calendar = cal.EventCalendar(spark, f"{shared_folder(spark)}/calendar-{uuid.uuid4().hex}", lambda: next(clock), quarter_events(spark, sf_dir))
+    calendar.load()
+    calendar.compact()
+    calendar.upload(months)
+    calendar.upload(months)
+    return calendar.add((date(1995, 1, 1), "US", cal.EVENT_TYPES[0], None, 1.0, None))
+
+
+@query(sql.SNAPSHOTS)
+def snapshots(spark, sf_dir):
+    """Hourly bars kept as a snapshot: the rows of the second load, which finds it fresh, and of a third, whose source
+    fails when the snapshot is old."""
+    now = [0.0]
+    store = src.SnapshotStore(spark, f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}", 12, lambda: now[0])
+    path = store.path("ALL", *src.default_dates(end=date(2024, 12, 31)))
+    fetch = lambda: src.interval_bars(table(spark, sf_dir, "events"))
+    store.get(path, fetch)
+    again, fresh = store.get(path, fetch)
+    now[0] = 13 * 3600.0
+    old, stale = store.get(path, lambda: spark.range(0))
+    both = again.withColumn("how", F.lit(fresh)).unionByName(old.withColumn("how", F.lit(stale)))
+    return shown(both.groupBy("asset_key", "how").agg(F.count("*").alias("n"), F.max("high").alias("high"), F.sum("volume").alias("volume")))
+
+
+@query(sql.STORED)
+def stored_bars(spark, sf_dir):
+    """A bucketed and partitioned table of bars, read for two assets and some years."""
+    name = f"bars_{uuid.uuid4().hex}"
+    bars = BarTable(spark, name, f"{shared_folder(spark)}/{name}", "year", 8)
+    bars.write(walk(spark, sf_dir))
+    part = bars.read(["A", "N"], date(1996, 3, 1), date(1998, 10, 31))
+    return shown(returns.cumulative_returns(part, block="year"), "asset_key", "date", "close", "cum_ret")
+
+
+KINDS = (("click", "Click", "CLK", "Flow", "USD", "US", "C"), ("view", "View", "VW", "Flow", "USD", "US", "V"))
+
+
+@query(sql.LOAD_ASSET)
+def load_asset(spark, sf_dir):
+    """Two assets loaded from a source by way of a snapshot: where they came from, their counters and their last bar."""
+    store = src.SnapshotStore(spark, f"{shared_folder(spark)}/assets-{uuid.uuid4().hex}", 12, lambda: 0.0)
+    raw = raw_bars(spark, sf_dir)
+    key_of = {k[2]: k[0] for k in KINDS}
+    fetch = lambda ticker, start, end, interval: src.in_range(raw, [key_of[ticker]], start, end)
+    out = []
+    for key in ("click", "view", "click"):
+        got = src.load_asset(store, key, fetch, end=date(2024, 12, 31), assets=KINDS)
+        last = got.bars.groupBy("asset_key").agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"))
+        out.append(got.report.join(last, "asset_key").withColumns({"from_cache": F.lit(got.from_cache), "stale": F.lit(got.stale)}))
+    return shown(out[0].unionByName(out[1]).unionByName(out[2]), day=False)
+
+
+def crossed(state, bars):
+    """Long above the mean of all closes so far; the state is their number and sum."""
+    n, total = state or (0, 0.0)
+    count = np.arange(n + 1, n + 1 + len(bars))
+    sums = total + bars["close"].cumsum()
+    return (bars["close"] > sums / count).astype(float), (int(count[-1]), float(sums.iloc[-1]))
+
+
+@query(sql.STRATEGY)
+def strategy_in_chunks(spark, sf_dir):
+    """A strategy of the user's own, in chunks of 500 bars."""
+    return shown(bt.run_backtest(walk(spark, sf_dir), bt.ChunkedStrategy(crossed, rows_a_chunk=500)), "asset_key", "date", "signal", "position", "equity", digits=4)
 
 
 @query(sql.TAPE)
@@ -426,9 +505,10 @@ def overview_cards(spark, sf_dir):
 
 @query(sql.LOOKUP)
 def asset_lookup(spark, sf_dir):
-    dimension = schema.assets(spark)
-    chosen = schema.assets_by_class(dimension, "Equity Index").select("asset_key", F.lit("class").alias("by"))
-    return chosen.unionByName(schema.asset_keys(dimension).withColumn("by", F.lit("all")))
+    """Parts as assets, their types as classes: those of one class, and all keys, by display order."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("asset_key"), F.col("p_type").alias("asset_class"), F.col("p_partkey").cast("int").alias("display_order"))
+    chosen = schema.assets_by_class(parts, "ECONOMY").select("asset_key", F.lit("class").alias("by"))
+    return chosen.unionByName(schema.asset_keys(parts).withColumn("by", F.lit("all")))
 
 
 @query(sql.LOADED)
@@ -444,7 +524,7 @@ def load_errors(spark, sf_dir):
 
 @query(sql.IN_RANGE)
 def bars_of_default_dates(spark, sf_dir):
-    rows = src.in_range(src.interval_bars(table(spark, sf_dir, "events")), None, *src.default_dates())
+    rows = src.in_range(src.interval_bars(table(spark, sf_dir, "events")), None, *src.default_dates(end=date(2024, 1, 20)))
     return shown(rows.groupBy("asset_key").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last")), day=False)
 
 
@@ -457,8 +537,6 @@ def provider_columns(spark, sf_dir):
 
 @query(sql.EVENTS_ADDED)
 def events_added(spark, sf_dir):
-    from datetime import date
-
     mine = cal.typed(quarter_events(spark, sf_dir))
     return cal.add_event(mine, (date(2030, 1, 2), None, "US CPI", 0.2, 0.3, None))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..schema import DEFAULT_ASSETS
 from ..sources.events import EVENT_TYPES, FOMC_DATES
 
 
@@ -298,7 +297,11 @@ EVENTS_IMPORT = f"""WITH {QUARTERS}, months AS (SELECT CAST(min(o_orderdate) AS
 listed AS (SELECT date, 1.0::DOUBLE AS actual, 0 AS s FROM quarters UNION ALL SELECT date, 2.0, 1 FROM months)
 SELECT date, 'US' AS country, '{FED}' AS event, NULL::DOUBLE AS expected, arg_min(actual, s) AS actual, NULL::DOUBLE AS previous FROM listed GROUP BY date"""
 EVENTS_LATEST = f"WITH {QUARTERS} SELECT date, 'US' AS country, '{FED}' AS event FROM quarters"
-EVENTS_SEED = f"SELECT 'US' AS country, '{FED}' AS event, {len(FOMC_DATES)}::BIGINT AS n, DATE '{min(FOMC_DATES)}' AS first_date, DATE '{max(FOMC_DATES)}' AS last_date"
+EVENTS_SEED = f"""WITH {QUARTERS}, listed AS (SELECT date FROM quarters UNION SELECT unnest([{", ".join(f"DATE '{d}'" for d in FOMC_DATES)}]))
+SELECT 'US' AS country, '{FED}' AS event, CAST(year(date) AS INTEGER) AS year, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM listed GROUP BY year(date)"""
+EVENTS_LOG = f"""WITH {QUARTERS}, months AS (SELECT CAST(min(o_orderdate) AS DATE) AS date, round(max(o_totalprice), 2) AS actual FROM orders GROUP BY date_trunc('month', o_orderdate)),
+listed AS (SELECT date, NULL::DOUBLE AS actual FROM quarters UNION ALL SELECT * FROM months WHERE date NOT IN (SELECT date FROM quarters) UNION ALL SELECT DATE '1995-01-01', 1.0)
+SELECT date, 'US' AS country, '{FED}' AS event, NULL::DOUBLE AS expected, actual, NULL::DOUBLE AS previous FROM listed"""
 
 CHANGE = f"{at(0)} / {at(1)} - 1"
 TAPE = f"WITH {BACK} SELECT asset_key, {r(at(0), 'last')}, {r(CHANGE, 'change')}, CASE WHEN {CHANGE} > 0 THEN 'up' WHEN {CHANGE} < 0 THEN 'down' ELSE 'flat' END AS direction FROM back GROUP BY 1"
@@ -331,12 +334,11 @@ STREAM_BARS = f"WITH {HOURS} SELECT asset_key, date, {rs('open', 'high', 'low',
 LISTED = """listed(asset_key, name, asset_class, display_order) AS (VALUES ('A', 'Alpha', 'Equity Index', 0), ('Z', 'Zeta', 'Commodity', 1), ('N', 'Nu', 'FX', 2))"""
 OVERVIEW_NAMED = OVERVIEW.replace("WITH ", f"WITH {LISTED}, ", 1).replace(", trend, regime\nFROM", ", trend, regime, coalesce(name, asset_key) AS name, asset_class, display_order\nFROM") + " LEFT JOIN listed USING (asset_key)"
 CARDS = f"SELECT asset_key, name, price, ret_1 FROM ({OVERVIEW_NAMED}) ORDER BY display_order NULLS LAST, asset_key LIMIT 2"
-LOOKUP = f"""WITH fixed(asset_key, asset_class) AS (VALUES {", ".join(f"('{a[0]}', '{a[3]}')" for a in DEFAULT_ASSETS)})
-SELECT asset_key, 'class' AS by FROM fixed WHERE asset_class = 'Equity Index' UNION ALL SELECT asset_key, 'all' FROM fixed"""
+LOOKUP = """SELECT CAST(p_partkey AS VARCHAR) AS asset_key, 'class' AS by FROM part WHERE p_type = 'ECONOMY' UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'all' FROM part"""
 LOADED = f"""WITH {RAW}, kept AS (SELECT asset_key, date, {filled("close")} AS close FROM staged WHERE kept AND asset_key IN ('click', 'view'))
 SELECT asset_key, date, {r("close")}, {r(f"CASE WHEN lag(close) OVER {W} <> 0 THEN close / lag(close) OVER {W} - 1 END", "ret")} FROM kept"""
 LOAD_ERRORS = f"WITH {RAW} SELECT asset_key, 'no usable rows' AS error FROM (VALUES ('click'), ('view'), ('missing')) AS v(asset_key) WHERE asset_key NOT IN (SELECT asset_key FROM staged WHERE kept)"
-IN_RANGE = f"WITH {HOURS} SELECT asset_key, count(*) AS n, min(date) AS first, max(date) AS last FROM hours WHERE date >= DATE '2015-01-01' AND date < current_date + 1 GROUP BY 1"
+IN_RANGE = f"WITH {HOURS} SELECT asset_key, count(*) AS n, min(date) AS first, max(date) AS last FROM hours WHERE date >= DATE '2015-01-01' AND date < DATE '2024-01-21' GROUP BY 1"
 PROVIDER = f"WITH {HOURS} SELECT asset_key, date, {rs('open', 'close')}, {r('close', 'adj_close')}, {r('volume')} FROM hours"
 EVENTS_ADDED = f"""WITH {QUARTERS} SELECT date, 'US' AS country, '{FED}' AS event, NULL::DOUBLE AS expected, NULL::DOUBLE AS actual, NULL::DOUBLE AS previous FROM quarters
 UNION ALL SELECT DATE '2030-01-02', NULL, 'US CPI', 0.2, 0.3, NULL"""
@@ -363,3 +365,16 @@ both_near AS (SELECT event_id, prior, next, CASE WHEN epoch_us(ts) - epoch_us(pr
 SELECT event_id, prior, next, CASE WHEN b IS NOT NULL AND (a IS NULL OR b < a) THEN k WHEN a IS NOT NULL THEN prior END AS near FROM both_near"""
 CORR_WIDE = f"""WITH walk AS (SELECT CAST(l_suppkey AS VARCHAR) AS asset_key, date_trunc('week', l_shipdate) AS date, sum(round(l_discount * 100)) AS ret FROM lineitem GROUP BY 1, 2),
 {PAIRS}, half AS (SELECT a, b, {PEARSON} AS corr, count(*) AS n FROM pairs GROUP BY 1, 2), {MIRROR} SELECT a, b, {r("corr")}, n FROM whole"""
+SNAPSHOTS = f"""WITH {HOURS} SELECT asset_key, how, count(*) AS n, {r("max(high)", "high")}, {r("sum(volume)", "volume")}
+FROM hours, (VALUES ('fresh'), ('stale')) kinds(how) GROUP BY 1, 2"""
+STORED = f"""WITH {WALK}, part AS (SELECT * FROM walk WHERE asset_key IN ('A', 'N') AND date >= DATE '1996-03-01' AND date < DATE '1998-11-01')
+SELECT asset_key, {DAY}, {r("close")}, {r(f"product(1 + coalesce(ret, 0)) OVER {U} - 1", "cum_ret")} FROM part"""
+LOAD_ASSET = f"""WITH {RAW}, counters AS (SELECT asset_key, count(*) AS rows_in, count(*) FILTER (kept) AS rows_out, count(*) FILTER (again) AS duplicates_removed,
+  CAST(sum(CASE WHEN kept THEN CAST(open IS NULL AS INTEGER) ELSE 0 END) AS BIGINT) AS missing_filled, count(*) FILTER (bad) AS invalid_ohlc_rows,
+  max(date) FILTER (kept) AS date, arg_max(close, date) FILTER (kept) AS close FROM staged GROUP BY 1)
+SELECT asset_key, rows_in, rows_out, duplicates_removed, missing_filled, invalid_ohlc_rows, date, {r("close")}, from_cache, false AS stale
+FROM counters JOIN (VALUES ('click', false), ('view', false), ('click', true)) loads(key, from_cache) ON asset_key = key"""
+STRATEGY = f"""WITH {WALK}, s AS (SELECT *, CASE WHEN close > avg(close) OVER {U} THEN 1.0 ELSE 0.0 END AS signal FROM walk),
+p AS (SELECT *, coalesce(lag(signal) OVER {W}, 0) AS position, coalesce(close / lag(close) OVER {W} - 1, 0) AS r0 FROM s),
+t AS (SELECT *, position * r0 - abs(position - coalesce(lag(position) OVER {W}, 0)) * 0.0007 AS net FROM p)
+SELECT asset_key, {DAY}, signal, position, {r(f"100000 * product(1 + net) OVER {U}", "equity", 4)} FROM t"""

@@ -7,14 +7,15 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..functions.kept import kept
 from ..functions.series import BLOCK, running
-from ..operators.clean import add_returns, clean_bars, cleaning_report, file_key, normalise_columns
+from ..operators.clean import COUNTERS, add_returns, clean_bars, counted, file_key, normalise_columns
 from ..schema import DEFAULT_ASSETS, DataUnavailableError, DataValidationError
+from .store import Files, Versions
 
 
 def read_bars(spark: SparkSession, path: str, format: str = "parquet", keys: Sequence[str] | None = None, start: date | None = None, end: date | None = None, **options) -> DataFrame:
@@ -62,11 +63,11 @@ def load_many(spark: SparkSession, path: str, keys: Sequence[str], start: date |
 
 
 class SnapshotStore:
-    """Raw bars kept as parquet, one folder per request, with the time they were written.
+    """Raw bars kept as versions of parquet folders, one set per request.
 
     `get` returns a fresh snapshot, else fetches and keeps one, else falls back to an old one; the flag
-    tells which ("fresh", "fetched" or "stale"). An empty fetch counts as a failed one. Folders are
-    written and read by Spark, so they may be in any store.
+    tells which ("fresh", "fetched" or "stale"). An empty fetch counts as a failed one. A source is read once. The
+    version before the newest stays, for readers that have it open.
     """
 
     def __init__(self, spark: SparkSession, root: str, ttl_hours: float | None = None, clock: Callable[[], float] = time.time):
@@ -76,57 +77,48 @@ class SnapshotStore:
     def path(self, ticker: str, start: date, end: date, interval: str = "1d") -> str:
         return f"{self.root}/{file_key(ticker)}_{start}_{end}_{interval}"
 
-    def read(self, path: str) -> DataFrame | None:
-        return self._stored(f"{path}/bars")
+    def versions(self, path: str) -> Versions:
+        return Versions(self.spark, path, self.clock)
 
-    def _stored(self, path: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(path)
-        except AnalysisException as e:  # the folder may not exist yet
-            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+    def read(self, path: str) -> DataFrame | None:
+        return self.versions(path).read()
 
     def age_hours(self, path: str) -> float | None:
-        kept = self._stored(f"{path}/written")
-        written = None if kept is None else kept.agg(F.max("at")).first()[0]
-        return None if written is None else (self.clock() - written) / 3600
+        now = self.versions(path).current()
+        return None if now is None else (self.clock() - now[1]) / 3600
 
     def is_fresh(self, path: str) -> bool:
         age = self.age_hours(path)
         return age is not None and age <= self.ttl
 
-    def save(self, path: str, raw: DataFrame) -> None:
-        raw.write.mode("overwrite").parquet(f"{path}/bars")
-        self.spark.range(1).select(F.lit(self.clock()).alias("at")).coalesce(1).write.mode("overwrite").parquet(f"{path}/written")
+    def save(self, path: str, raw: DataFrame) -> DataFrame | None:
+        """The new version, read back; None, and nothing changed, for an empty table."""
+        made = self.versions(path).save(raw, least=1)
+        self.versions(path).expire(2)
+        return made
 
     def get(self, path: str, fetch: Callable[[], DataFrame], force: bool = False) -> tuple[DataFrame, str]:
         if not force and self.is_fresh(path):
             return self.read(path), "fresh"
         try:
             raw = fetch()
-            if raw.isEmpty():
+            try:
+                made = self.save(path, raw)
+            except Exception:  # a snapshot that cannot be kept must not break the load
+                made = None if raw.isEmpty() else raw
+            if made is None:
                 raise DataUnavailableError("the source returned no rows")
+            return made, "fetched"
         except Exception:
             old = self.read(path)
             if old is None:
                 raise
             return old, "stale"
-        try:
-            self.save(path, raw)
-            return self.read(path), "fetched"
-        except Exception:  # a snapshot that cannot be kept must not break the load
-            return raw, "fetched"
 
     def clear(self) -> int:
-        """Removes all snapshots; how many files went."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return 0
-        n = fs.getContentSummary(root).getFileCount()
-        fs.delete(root, True)
-        return n
+        """Removes all snapshots, and nothing that is not one; how many files went."""
+        found = Files(self.spark).folders(self.root)
+        return sum(self.versions(f).clear() for f in found if self.versions(f).pointers() is not None)
 
 
 @dataclass(frozen=True)
@@ -167,9 +159,11 @@ def load_asset(
     try:
         raw = normalise_columns(raw)
         raw = raw if "asset_key" in raw.columns else raw.withColumn("asset_key", F.lit(key))
-        bars, report = load(raw), cleaning_report(raw)
+        bars, counters = counted(raw)
+        bars = kept(add_returns(bars, block=None), "bars")  # one pass makes the bars and counts
         if bars.isEmpty():
             raise DataValidationError(f"no usable rows of {key}")
+        report = store.spark.createDataFrame([(key, *(counters.get[c] for c in COUNTERS))], f"asset_key string, {', '.join(f'{c} long' for c in COUNTERS)}")
     except DataValidationError as e:
         raise DataUnavailableError(str(e)) from e
     return Loaded(key, asset, bars, report, how != "fetched", how == "stale")

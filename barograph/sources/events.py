@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import EVENTS, DataValidationError
+from .store import EventLog
 
 COLUMNS = ("date", "country", "event", "expected", "actual", "previous")
 #: The kinds of event, and the published days of FOMC rate decisions.
@@ -72,29 +74,34 @@ def event_types(events: DataFrame) -> DataFrame:
 
 
 class EventCalendar:
-    """A calendar kept as one CSV folder. It is edited by hand and small, so a change holds the rows in the
-    driver while the folder is written anew."""
+    """A calendar kept as an event log: additions are appended and made one when the calendar is read, so nothing passes
+    through the driver, and of two writers at a time both are kept."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time, seed: DataFrame | None = None):
+        self.spark, self.seed = spark, seed
+        self.log = EventLog(spark, path, COLUMNS, ("date", "event", "country"), clock)
 
     def load(self) -> DataFrame:
-        """The calendar, seeded with the FOMC days if there is none yet."""
-        try:
-            return read_events(self.spark, self.path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-        write_events(seed_events(self.spark), self.path)
-        return read_events(self.spark, self.path)
-
-    def _replace(self, events: DataFrame) -> DataFrame:
-        held = self.spark.createDataFrame(events.select(*COLUMNS).collect(), EVENTS)
-        write_events(held, self.path)
-        return read_events(self.spark, self.path)
+        """The calendar in date order, seeded (with the FOMC days, if nothing else is given) if there is none yet."""
+        rows = self.log.read()
+        if rows is None:
+            self.log.append(typed(seed_events(self.spark) if self.seed is None else self.seed))
+            rows = self.log.read()
+        return rows.orderBy("date")
 
     def add(self, row: tuple) -> DataFrame:
-        return self._replace(add_event(self.load(), row))
+        """One more event; equal events stay apart."""
+        self.load()
+        self.log.append(self.spark.createDataFrame([row], EVENTS).coalesce(1))
+        return self.load()
 
     def upload(self, uploaded: DataFrame, replace: bool = False) -> DataFrame:
-        return self._replace(import_events(self.load(), uploaded, replace))
+        """More events, after which all are unique (see `import_events`); replace drops the existing ones."""
+        self.load()
+        self.log.append(typed(uploaded), "replace" if replace else "unique")
+        return self.load()
+
+    def compact(self) -> DataFrame:
+        """Stores the calendar as one table, which later reads begin with."""
+        self.log.compact()
+        return self.load()
