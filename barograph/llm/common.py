@@ -85,6 +85,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
+def whole_row(df: DataFrame):
+    """A struct of all columns, whatever their names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 def ascii_lower(col):
     """Lower case for A-Z only."""
     return F.translate(col, _UPPER, _LOWER)

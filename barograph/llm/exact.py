@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove, stored
+from .common import materialize, remove, stored, whole_row
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Code points of a beginning, and bits of the bitmap (2 MB, in rows of 4 KB).
@@ -94,7 +94,6 @@ def report(docs: DataFrame, prefix: int = PREFIX, bits: int = BITS) -> DataFrame
 def deduplicate(docs: DataFrame, prefix: int = PREFIX, bits: int = BITS) -> DataFrame:
     """The rows of docs that `report` keeps, with all their columns (of any names) as they are. Texts are stored once
     and travel with their row's number only where some row of the same text goes."""
-    packed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
-    rows = keyed(docs, packed, prefix=prefix, bits=bits)
+    rows = keyed(docs, whole_row(docs).alias("doc"), prefix=prefix, bits=bits)
     gone = grouped(rows.drop("doc")).filter("not kept").select("row")
-    return rows.join(gone, "row", "left_anti").select(*(F.col(f"doc.`{c}`") for c in docs.columns))
+    return rows.join(gone, "row", "left_anti").select("doc.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, numbered, part_starts
+from .common import WORD, materialize, numbered, part_starts, whole_row
 
 WEIGHTS, SHARE, MOST, TILT = (5, 2, 1), 1.5, 2, 0.25
 #: Bins of the ranks' logarithms a unit; a bin has at most a 4096th of a source's documents.
@@ -148,7 +148,7 @@ def mix(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
     """The mixed documents with the columns of docs, a row for each copy that the mix takes (see `allocation`).
     Of rows equal in doc_id, source and text as many are drawn as the plan says; which of them is open, should
     their other columns differ."""
-    kept = measured(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text"), seed)
+    kept = measured(docs.select(whole_row(docs).alias("_row"), "doc_id", "source", "text"), seed)
     rows, strata = plan(docs, seed=seed, **how)
     repeats = decided(rows, strata).groupBy("_h").agg(F.count("*").alias("_n"), F.sum(F.col("_taken_copies") - F.col("_whole")).alias("_draws")).filter("_n > 1")
     repeats = materialize(repeats, "repeats")

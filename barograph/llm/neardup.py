@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, whole_row
 from .components import components
 
 
@@ -104,7 +104,7 @@ def report(docs: DataFrame, radius: int = 3) -> DataFrame:
 def deduplicate(docs: DataFrame, radius: int = 3) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id (see `grouped`)."""
     keep = materialize(grouped(docs, radius).select(F.col("component_id").alias("_id"), F.col("keep_h").alias("_h")).distinct(), "kept")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
+    rows = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
     rows = rows.join(keep, rows["_doc"].eqNullSafe(keep["_id"]) & (rows["_hash"] == keep["_h"]), "left_semi")
     nth = F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy(F.lit(0)))
     return rows.withColumn("_nth", nth).filter("_nth = 1").select("_row.*")

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, whole_row
 
 #: Labelled documents that train (picked by a hash of their ids), at most.
 SAMPLE = 12_000
@@ -197,5 +197,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = train(docs, labels)
     if not rules.rules:
         return docs
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    rows = docs.select(whole_row(docs).alias("_row"), "doc_id", "text")
     return scored(rows, rules).filter(F.col("_score") >= KEEP_AT).select("_row.*")

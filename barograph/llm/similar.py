@@ -1,10 +1,13 @@
 """Near copies by the Jaccard similarity of their word shingles.
 
-A text is the set of hashes of its runs of five words. MinHash bands only propose pairs: a pair counts
-after its whole sets have been compared. Texts with equal sets are one node. Of every key of the first
-bands all members are compared with the smallest one, so a crowd of near copies soon is one group, for a
-row a member; then, in every key, the members outside its largest group with one member of that; last,
-the pairs of a key that are still in different groups, if bitmaps of their sets differ in few enough bits.
+A text is the set of hashes of its runs of five words; texts with equal sets are one node. SimHash fingerprints of the
+sets are linked by their deletion-variant signatures (see `neardup`), and every member of a group is compared with the
+group's smallest one: a pair counts after its whole sets have been compared. Fingerprints within three bits find what
+is nearly the same. At a similarity of 0.8 some ten of the 64 bits differ, and no index of one-wildcard segments is
+selective there, so MinHash bands propose the rest: of every key of the first bands all members are compared with the
+smallest one, so a crowd of near copies soon is one group, for a row a member; then, in every key, the members outside
+its largest group with one member of that; last, the pairs of a key that are still in different groups, if bitmaps of
+their sets differ in few enough bits.
 """
 
 from __future__ import annotations
@@ -14,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, whole_row
 from .components import components
+from .neardup import links
 
 #: Words of a shingle; the similarity of near copies as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
@@ -23,6 +27,8 @@ SHINGLE, LEAST = 5, (4, 5)
 BANDS, ROWS = 64, 6
 #: Bands that group crowds before the others are looked at. It changes no result.
 EARLY = 3
+#: Differing bits of linked fingerprints; tasks that share the comparisons with one node.
+RADIUS, SALTS = 3, 32
 #: Bits of a set's bitmap, in which every shingle flips the bit of its hash. Two bitmaps differ in no more bits than the
 #: sets in shingles, which are at most a ninth of both sizes' sum at a similarity of 0.8.
 BITMAP = 2048
@@ -64,6 +70,14 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return key.view("<i8")
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a set, as a signed long: a bit is 1 if it is set in over half of the hashes; 0 for an empty set."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(own), 1 << 15):
+        votes += np.unpackbits(own[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(own), bitorder="little").view("<i8")[0])
+
+
 def bitmap(own: np.ndarray) -> np.ndarray:
     """A set's bitmap, as signed longs."""
     odd = np.bincount((own % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
@@ -90,7 +104,7 @@ def few_bits(a: str, b: str) -> str:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, h (a hash of the text), s (a hash of the set), n (its size), keys of every row."""
+    """doc_id, h (a hash of the text), s (a hash of the set), n (its size), fp (its fingerprint), keys of every row."""
 
     def run(batches):
         import xxhash
@@ -101,10 +115,22 @@ def sketches(docs: DataFrame) -> DataFrame:
                 own = [shingles(t) for t in texts[a:b].to_pylist()]
                 s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in own], "<u8").view("<i8")
                 n = pa.array([len(x) for x in own], pa.int64())
+                fp = pa.array([fingerprint(x) for x in own], pa.int64())
                 keys = pa.array([band_keys(x) if len(x) else [] for x in own], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(s), n, keys], names=["doc_id", "h", "s", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(s), n, fp, keys], names=["doc_id", "h", "s", "n", "fp", "keys"])
+
+    return keyed(docs).mapInArrow(run, "doc_id long, h long, s long, n long, fp long, keys array<long>")
+
 
-    return keyed(docs).mapInArrow(run, "doc_id long, h long, s long, n long, keys array<long>")
+def by_fingerprint(classes: DataFrame) -> DataFrame:
+    """s, n, rep (a struct of s and n): the classes (s, n, fp) of every group of fingerprints that deletion-variant signatures
+    link, but its smallest one, which is rep."""
+    found = classes.filter("n > 0").select("s", "n", "fp")
+    joined = components(links(found.select("fp").distinct(), RADIUS))
+    groups = found.join(joined, found["fp"] == joined["node"], "left").select("s", "n", F.coalesce("component", "fp").alias("group"))
+    groups = materialize(groups, "fingerprints")
+    reps = groups.groupBy("group").agg(F.min(F.struct("s", "n")).alias("rep"), F.count("*").alias("c")).filter("c > 1").select("group", "rep")
+    return groups.join(materialize(reps, "representatives"), "group").filter("s <> rep.s").select("s", "n", "rep")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -143,7 +169,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     one, two = sets.select(F.col("s").alias("a"), F.col("own").alias("x")), sets.select(F.col("s").alias("b"), F.col("own").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    pairs = materialize(pairs.withColumn("salt", F.pmod("b", F.lit(SALTS))), "pairs")
+    one = pairs.select("a", "salt").distinct().join(one, "a")  # a copy for each salt that occurs
+    return pairs.join(two, "b").join(one, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -152,17 +180,20 @@ def grouped(docs: DataFrame) -> DataFrame:
     one task's memory, 8 bytes a word; repeated rows share their set; an empty table gives no rows."""
     rows = materialize(sketches(docs), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
-    classes = materialize(rows.groupBy("s").agg(first, F.max("n").alias("n"), F.any_value("keys").alias("keys")), "classes")
+    classes = materialize(rows.groupBy("s").agg(first, F.max("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "classes")
     index = classes.select("s", "n", F.posexplode("keys").alias("band", "key"))
     shared = index.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     members = materialize(index.join(shared, "key"), "members")
-    nodes = classes.join(members.select("s").distinct(), "s").select("s", "first.doc_id", "first.h")
+    alike = materialize(by_fingerprint(classes), "alike")
+    asked = members.select("s").union(alike.select("s")).union(alike.select("rep.s")).distinct()
+    nodes = classes.join(asked, "s").select("s", "first.doc_id", "first.h")
     sets = materialize(whole_sets(docs, nodes), "sets")
 
     close = lambda x, y: F.expr(f"{LEAST[1]} * least({x}, {y}) >= {LEAST[0]} * greatest({x}, {y})")  # noqa: E731  (sizes alone rule it out)
     rep = F.struct("s", "n")
     early = members.filter(F.col("band") < EARLY)
-    star = early.join(early.groupBy("key").agg(F.min(rep).alias("rep")), "key").filter("s <> rep.s").filter(close("n", "rep.n"))
+    star = early.join(early.groupBy("key").agg(F.min(rep).alias("rep")), "key").filter("s <> rep.s").select("s", "n", "rep")
+    star = alike.union(star).filter(close("n", "rep.n"))
     near = materialize(verified(star.select(F.col("rep.s").alias("a"), F.col("s").alias("b")).distinct(), sets), "near")
 
     def with_roots(some: DataFrame) -> DataFrame:
@@ -195,7 +226,7 @@ def grouped(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id (see `grouped`)."""
     keep = materialize(grouped(docs).select(F.col("component_id").alias("_id"), F.col("keep_h").alias("_h")).distinct(), "kept")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
+    rows = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
     rows = rows.join(keep, rows["_doc"].eqNullSafe(keep["_id"]) & (rows["_hash"] == keep["_h"]), "left_semi")
     nth = F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy(F.lit(0)))
     return rows.withColumn("_nth", nth).filter("_nth = 1").select("_row.*")

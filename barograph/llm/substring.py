@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import materialize, slices
+from .common import materialize, slices, whole_row
 
 LEAST, BITS, WINDOW, MOST_WORDS = 25, 2, 3, 12
 #: Bytes of the spans of all documents up to which they are broadcast; more are joined by shuffle.
@@ -178,7 +179,7 @@ def cleaned(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
     """
     found = runs(docs, least, bits)
     size = found.agg(F.sum(32 + 24 * F.size("spans"))).first()[0] or 0
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_old"))
+    rows = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_old"))
     rows = rows.withColumn("_h", F.xxhash64(F.coalesce("_old", F.lit(""))))
     side = F.broadcast(found) if size <= BROADCAST_BYTES else found
     rows = rows.join(side, rows["_doc"].eqNullSafe(side["doc_id"]) & (rows["_h"] == side["h"]), "left").drop("doc_id", "h")
@@ -210,7 +211,8 @@ def cleaned(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
             cols = [batch.column(batch.schema.get_field_index(c)) for c in ("_row", "_doc")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(new, pa.string()), pa.array(removed, kind), pa.array(count, pa.int64())], names=["_row", "doc_id", "_text", "removed_spans", "removed_words"])
 
-    kinds = f"_row {rows.schema['_row'].dataType.simpleString()}, doc_id long, _text string, removed_spans array<struct<start long, stop long>>, removed_words long"
+    made = StructType.fromDDL("doc_id long, _text string, removed_spans array<struct<start long, stop long>>, removed_words long")
+    kinds = StructType([rows.schema["_row"], *made])
     return rows.select("_row", "_doc", "_old", "spans").mapInArrow(run, kinds)
 
 

@@ -17,8 +17,8 @@ def docs_of(spark):
         full = []
         for i, r in enumerate(rows):
             r = r if isinstance(r, tuple) else (i, r)
-            full.append((r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), i, 1.0, "x"))
-        return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, _size int, score double, component_id string")
+            full.append((r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), i, 1.0, "x", 2))
+        return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, _size int, score double, component_id string, `a.b` int")
 
     return make
 

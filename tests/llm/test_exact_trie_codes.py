@@ -47,7 +47,7 @@ def test_exact_dedup_meets_groups_whatever_the_bitmap(docs_of, bits, prefix):
 
 def test_exact_dedup_keeps_whole_rows(spark, docs_of):
     rows = [(3, "a  b", "s"), (1, "a b", "t"), (1, "a b", "t"), (None, "a\tb", "u"), (9, None, "s"), (8, "", "s"), (5, "own", None)]
-    docs = docs_of(rows).withColumnsRenamed({"lang": "a.b", "score": "row"})
+    docs = docs_of(rows).withColumnsRenamed({"lang": "c.d", "score": "row"})
     kept = exact.deduplicate(docs)
     assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, "a b"), (5, "own"), (8, "")]
