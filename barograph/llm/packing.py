@@ -19,11 +19,15 @@ from .common import materialize, slices
 from .tokens import default_path, encoder
 
 
+#: Plans with sequences of just k pieces are tried up to this k.
+NUMBERS = 12
+
+
 def cut(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
     """One row per piece of each document's ids (its end id included).
 
     Columns: doc_id, piece, start, length, ids_crc32, part and seq (together a row key), and ids
-    (binary, little-endian unsigned 32-bit) if with_ids. A null text counts as empty and gives the
+    (binary, little-endian unsigned 32-bit) if with_ids. A very long text is encoded whole by one task. A null text counts as empty and gives the
     end id alone; a null doc_id stays null; repeated rows are packed as often as they occur; other
     columns of docs are ignored; an empty table gives no rows.
     """
@@ -70,6 +74,9 @@ class Plan:
         self.runs.append((length, start, first, each, offset))
         self.used[length] = start + count * each
 
+    def copy(self) -> Plan:
+        return Plan(self.capacity, self.sequences, dict(self.used), list(self.runs))
+
     def arrays(self) -> tuple:
         runs = np.array(sorted(self.runs), dtype=np.int64).reshape(-1, 5)
         return tuple(np.ascontiguousarray(runs[:, k]) for k in range(5))
@@ -169,10 +176,99 @@ def best_fit(left: dict[int, int], plan: Plan) -> None:
                     by_room.setdefault(size - k * length, []).append((first, int(count)))
 
 
+def fill_by_number(left: dict[int, int], plan: Plan, k: int) -> dict[int, int]:
+    """Fixes sequences of k pieces each from the smallest pieces, as many as their sum allows; returns what is left.
+
+    Where lengths crowd a little above or below capacity / k, best fit puts its longest pieces together and then finds
+    too little room for k of the rest. Here the longest piece that is still to have k - 1 companions takes, one after the
+    other, the longest that leave room for the smallest ones to fill up the number. Equal sequences are fixed together.
+    """
+    size, rest = plan.capacity, dict(left)
+    pieces = total = 0
+    own: dict[int, int] = {}
+    for x in sorted(left):  # the smallest pieces whose mean is at most capacity / k
+        n = left[x]
+        if k * (total + n * x) > size * (pieces + n):
+            n = max(0, min(n, (size * pieces - k * total) // (k * x - size))) if k * x > size else n
+        if n:
+            own[x] = n
+            pieces, total = pieces + n, total + n * x
+        if n < left[x]:
+            break
+    while own:
+        lengths = sorted(own)
+        chosen: list[int] = []
+        room, have = size, own
+        for slot in range(k - 1, -1, -1):  # slot pieces follow this one
+            taken = {x: chosen.count(x) for x in set(chosen)}
+            least, need = 0, slot
+            for x in lengths:
+                n = min(need, have[x] - taken.get(x, 0))
+                least, need = least + n * x, need - n
+                if not need:
+                    break
+            fits = [] if need else [x for x in lengths if x <= room - least and have[x] > taken.get(x, 0)]
+            if not fits:
+                break
+            x = fits[-1]
+            chosen.append(x)
+            room -= x
+        if len(chosen) < k:
+            x = lengths[-1] if not chosen or chosen[0] != lengths[-1] else chosen[0]
+            del own[x]  # it stays among the rest
+            continue
+        times = min(own[x] // chosen.count(x) for x in set(chosen))
+        if chosen[0] != lengths[-1]:
+            del own[lengths[-1]]  # too long for any k
+            continue
+        first, offset = plan.open(times), 0
+        for x in chosen:
+            plan.place(x, first, times, 1, offset)
+            offset += x
+            for counts in (own, rest):
+                counts[x] -= times
+                if not counts[x]:
+                    del counts[x]
+    return rest
+
+
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound on sequences: for every length a up to half the capacity, pieces too long for a companion of length a
+    or more are alone, those over half do not meet, and the rest from a on fill at least what these leave, and more."""
+    if not counts:
+        return 0
+    x = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in x.tolist()], np.int64)
+    many, size = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * x)])
+    half = int(np.searchsorted(x, capacity // 2, "right"))
+    bounds = [-(-int(size[-1]) // capacity)]
+    for a in [0, *x[:half].tolist()]:
+        low, high = int(np.searchsorted(x, a)), max(half, int(np.searchsorted(x, capacity - a, "right")))
+        alone, apart = int(many[-1] - many[high]), int(many[high] - many[half])
+        over = int(size[half] - size[low]) - (apart * capacity - int(size[high] - size[half]))
+        bounds.append(alone + apart + max(0, -(-over // capacity)))
+    return max(bounds)
+
+
 def make_plan(counts: dict[int, int], capacity: int) -> Plan:
+    """The dominance reduction, then best fit of what is left. Where that needs over a thousandth more than the lower bound
+    (one sequence more, of few), also best fit after sequences of just k pieces each, for every k up to `NUMBERS` and for
+    k and all numbers below it in turn; the plan with the fewest sequences counts, of equals the first."""
     plan = Plan(capacity)
-    best_fit(reduce_by_dominance(counts, plan), plan)
-    return plan
+    left = reduce_by_dominance(counts, plan)
+    bound = plan.sequences + least_sequences(left, capacity)
+    most = min(NUMBERS, capacity // min(left, default=capacity))
+    best = None
+    for numbers in [(), *((k,) for k in range(2, most + 1)), *(range(k, 1, -1) for k in range(3, most + 1))]:
+        own, rest = plan.copy(), dict(left)
+        for k in numbers:
+            rest = fill_by_number(rest, own, k)
+        best_fit(rest, own)
+        if best is None or own.sequences < best.sequences:
+            best = own
+        if best.sequences <= bound + bound // 1000:
+            break
+    return best
 
 
 def place(pieces: DataFrame, capacity: int = 4096, cells: int = 4000) -> DataFrame:

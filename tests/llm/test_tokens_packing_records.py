@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,32 @@ def test_plans_are_sound_and_nearly_least(items):
     assert least <= used(counts, 20) <= least + 1
 
 
+@pytest.mark.parametrize("low,high,n,most", [(1300, 1500, 20_000, 8000), (900, 1400, 5000, 1470), (1000, 1366, 20_000, 6470), (600, 900, 20_000, 3760), (1, 4097, 20_000, 10_080)])
+def test_plans_of_crowded_lengths_are_near_the_bound(low, high, n, most):
+    drawn = Counter(np.random.default_rng(1).integers(low, high, n).tolist())
+    need = used(drawn, 4096)
+    bound = packing.least_sequences(dict(drawn), 4096)
+    assert bound <= need <= most
+
+
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+@settings(max_examples=60, deadline=None)
+def test_lower_bound_is_one(items):
+    assert packing.least_sequences(Counter(items), 20) <= optimum(items, 20)
+
+
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=14), st.integers(2, 5))
+@settings(max_examples=100, deadline=None)
+def test_sequences_of_a_number_of_pieces_are_sound(items, k):
+    plan = packing.Plan(20)
+    rest = packing.fill_by_number(dict(Counter(items)), plan, k)
+    assert sum(rest.values()) + k * plan.sequences == len(items) and not any(n <= 0 for n in rest.values())
+    load = Counter()
+    for length, _, first, each, offset in plan.runs:
+        assert each == 1 and offset + length <= 20
+        load[first] = max(load[first], offset + length)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(5, 20), min_size=1, max_size=9))
 def test_dominance_reduction_keeps_the_optimum(items):
