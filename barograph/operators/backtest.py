@@ -259,6 +259,7 @@ def metrics_bundle(daily: DataFrame, rf: float | None = None, by: Sequence[str]
     benchmark counts as one trade without statistics. One pass over daily for all three, one for the trades."""
     rf = CONFIG.analysis.risk_free if rf is None else rf
     kinds = {"net": ("equity", "net_ret"), "gross": ("gross_equity", "gross_ret"), "benchmark": ("benchmark", "ret")}
+    daily = daily if block is None else kept(daily, "daily")  # read by the peaks and the trades, several times each
     rows = running(daily, {f"_peak_{k}": ("max", e) for k, (e, _) in kinds.items()}, by, block=block)
     own = [c.alias(f"{k}_{i}") for k, (e, r) in kinds.items() for i, c in enumerate(performance(e, r, f"_peak_{k}", rf, td))]
     out = rows.groupBy(*by).agg(*own).join(trade_stats(extract_trades(daily, by, block), by), list(by), "left")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.kept import shared_folder
+from ..functions.kept import kept, shared_folder
 from ..operators import backtest as bt
 from ..operators import clean, correlation, drawdown, eventstudy, indicators, regime, returns, summary, volatility
 from ..operators.asof import asof
@@ -318,7 +318,7 @@ def backtest_trades(spark, sf_dir):
 
 @query(sql.METRICS)
 def backtest_metrics(spark, sf_dir):
-    daily = bt.run_backtest(walk(spark, sf_dir), bt.MovingAverageCrossover())
+    daily = kept(bt.run_backtest(walk(spark, sf_dir), bt.MovingAverageCrossover()), "daily")
     return shown(bt.compute_metrics(daily, bt.extract_trades(daily)))
 
 
@@ -331,7 +331,7 @@ def backtest_metrics_table(spark, sf_dir):
 def backtest_oos(spark, sf_dir):
     parts = bt.split_dev_oos(walk(spark, sf_dir), (date(1995, 1, 1), date(1999, 12, 31)), (date(2000, 1, 1), date(2001, 12, 31)))
     by = ["asset_key", "segment"]
-    daily = bt.run_backtest(parts, bt.MovingAverageCrossover(), by=by)
+    daily = kept(bt.run_backtest(parts, bt.MovingAverageCrossover(), by=by), "daily")
     return shown(bt.compute_metrics(daily, bt.extract_trades(daily, by), by=by))
 
 
