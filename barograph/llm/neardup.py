@@ -70,7 +70,8 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
             in (0L, shiftleft(1L, a.wild))
         and (a.wild = 0 or case when a.lower then (a.fp ^ b.fp) & 4294967295L else shiftrightunsigned(a.fp ^ b.fp, 32) end <> 0L)
         and (a.lower or bit_count((a.fp ^ b.fp) & 4294967295L) > 1)"""
-    return a.join(b, F.expr(accept)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    # sizes are estimated without the 64 rows a fingerprint, so a side that looks small could be broadcast through the driver
+    return a.hint("merge").join(b.hint("merge"), F.expr(accept)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def grouped(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -243,3 +244,20 @@ def test_repeated_windows_by_brute_force(spark):
             seen.add(h)
     assert repeated > 300 and stay <= 0.01 * repeated, (repeated, stay)
     assert wrong <= 0.002 * removed, (removed, wrong)
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """No broadcast of over 2 MB, while Spark's usual threshold of 10 MB of estimated size holds for joins."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.maxBroadcastTableSize": str(2 << 20)}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_variants_do_not_pass_through_the_driver(spark, docs_of, small_broadcasts):
+    docs = docs_of([(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(4000)])
+    assert {r["component_id"] for r in neardup.report(docs).collect()} == set(range(4000))
