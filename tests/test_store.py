@@ -192,3 +192,11 @@ def test_rank_correlations_read_bars_twice(spark, sf_dir, method):
     bars = catalogue.table(spark, sf_dir, "lineitem").selectExpr("l_returnflag as asset_key", "cast(date_trunc('week', l_shipdate) as timestamp_ntz) as date", "l_discount as ret")
     plan = correlation.correlation_matrix(bars, method=method)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem") <= 1  # the pairs are stored: what is left is the diagonal's counts
+
+
+def test_bars_of_default_dates_counts_every_bar(spark, sf_dir):
+    """The default range goes from 2015 to today, so no hour of the events is left out."""
+    rows = catalogue.table(spark, sf_dir, "events").filter("ts >= '2015-01-01' and ts < current_date() + 1")
+    want = rows.groupBy("event_type").agg(F.countDistinct(F.date_trunc("hour", "ts")), F.max(F.date_trunc("hour", "ts")).cast("string"))
+    got = catalogue.QUERIES["bars_of_default_dates"](spark, sf_dir).select("asset_key", "n", F.col("last").cast("string"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
