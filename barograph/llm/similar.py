@@ -183,7 +183,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     classes = materialize(rows.groupBy("s").agg(first, F.max("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "classes")
     index = classes.select("s", "n", F.posexplode("keys").alias("band", "key"))
     shared = index.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    members = materialize(index.join(shared, "key"), "members")
+    members = materialize(index.hint("merge").join(shared, "key"), "members")  # never broadcast: its size is estimated without the bands
     alike = materialize(by_fingerprint(classes), "alike")
     asked = members.select("s").union(alike.select("s")).union(alike.select("rep.s")).distinct()
     nodes = classes.join(asked, "s").select("s", "first.doc_id", "first.h")

@@ -44,3 +44,26 @@ def test_pipeline_stage_finds_near_copies_by_brute_force(spark, docs_of, odd_doc
     kept = {r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, tables[0], sf_dir).collect()}
     assert 15 < 160 - len(kept) < 60 and all(1000 + i in kept for i in range(40))
     assert corpus_pipeline.STAGES[1][1](spark, tables[0].limit(0), sf_dir).count() == 0
+
+
+def test_stage_sends_no_band_keys_through_the_driver(spark, docs_of, monkeypatch):
+    """The table of shared band keys is made without a broadcast of over 2 MB, at Spark's usual threshold of estimated sizes."""
+    real, seen = similar.materialize, []
+    names = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.maxBroadcastTableSize": str(2 << 20)}
+
+    def limited(df, name):
+        if name != "members":
+            return real(df, name)
+        seen.append(name)
+        before = {k: spark.conf.get(k) for k in names}
+        try:
+            for k, v in names.items():
+                spark.conf.set(k, v)
+            return real(df, name)
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+
+    monkeypatch.setattr(similar, "materialize", limited)
+    docs = docs_of([(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(4000)])
+    assert corpus_pipeline.STAGES[1][1](spark, docs, "").count() == 4000 and seen == ["members"]
