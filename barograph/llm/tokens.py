@@ -35,6 +35,13 @@ def gather(flat: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np
     return flat[places], n
 
 
+def unpacked(words: pa.Array) -> list[str]:
+    """The strings of an array without nulls and white space, by way of one string."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words), " ")[0].as_py().split(" ")
+
+
 def runs_of(word: str) -> int:
     """Of how many runs of letters, digits and marks the vocabulary makes a word; 0 if that is not sure."""
     if word.isascii():
@@ -55,7 +62,7 @@ class WordEncoder:
     the words' ids can be told apart. Other words outside ASCII go one by one. When more than `most` pieces are known, only those of the batch at hand stay.
     """
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -108,14 +115,14 @@ class WordEncoder:
         first = lists.offsets[0].as_py() if len(lists) else 0
         coded = lists.flatten().dictionary_encode()
         parts = self.pieces(coded.dictionary).dictionary_encode()
-        names = parts.dictionary.to_pylist()
+        names = unpacked(parts.dictionary)
         if len(self.known) > self.most:
             self.known = {n: self.known[n] for n in {*names, ""} & self.known.keys()}
         new = [n for n in names if n not in self.known]
         runs = [runs_of(n) if self.plain else 0 for n in new]
         self.known.update(self.together([n for n, k in zip(new, runs, strict=True) if k], [k for k in runs if k]))
         self.known.update(self.one_by_one([n for n, k in zip(new, runs, strict=True) if not k]))
-        ids = [self.known[n] for n in names]
+        ids = list(map(self.known.__getitem__, names))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, n = gather(np.frombuffer(b"".join(ids), "<u4"), lengths, parts.indices.to_numpy())
         flat, n = gather(flat, n[0::2] + n[1::2], coded.indices.to_numpy())

@@ -193,3 +193,22 @@ def test_damaged_records_are_found():
             list(records.frames(bytes(bad)))
     with pytest.raises(ValueError):
         list(records.frames(good[:-3]))
+
+
+def test_words_of_earlier_batches_are_not_encoded_again():
+    coder, asked = tokens.WordEncoder(tokens.default_path()), []
+    together = coder.together
+    coder.together = lambda words, runs: asked.append(len(words)) or together(words, runs)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:12]]
+    one, two = pa.array([" ".join(many[:105_000])]), pa.array([" ".join(many[105_000:])])
+    first = coder(one)
+    coder(two)
+    coder(pa.array(["again"]))
+    assert coder(one) == first and asked[0] == 105_000 and asked[3] == 0
+
+
+def test_strings_by_way_of_one():
+    for words in ([], [""], ["a"], ["", "é", "", "\U0001f600\x85", ""]):
+        assert tokens.unpacked(pa.array(words, pa.string())) == words
+    assert tokens.unpacked(pa.array(["x", "", "y"])[1:]) == ["", "y"]
