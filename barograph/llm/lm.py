@@ -37,6 +37,24 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CLASSES
 
 
+_CRC = np.array([zlib.crc32(bytes([i])) ^ zlib.crc32(b"\0") for i in range(256)], np.uint32)  # of one byte, from a register of 0
+
+
+def classes_of(words: pa.Array) -> np.ndarray:
+    """class_of every word of a binary array without nulls."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    words = pa.concat_arrays([words])  # offsets from 0
+    ends = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    crc, size = np.full(len(words), 0xFFFFFFFF, np.uint32), np.diff(ends)
+    for back in (3, 2, 1):
+        has = np.flatnonzero(size >= back)
+        now = crc[has]
+        crc[has] = _CRC[(now ^ data[ends[1:][has] - back]) & np.uint32(255)] ^ (now >> np.uint32(8))
+    return (~crc % np.uint32(CLASSES)).astype(np.int64)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The definition of a text's words; see `split` for many texts."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -295,7 +313,7 @@ def coded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 at = pc.fill_null(pc.index_in(words, value_set=v.words), -1).to_numpy(zero_copy_only=False)
                 symbols = np.where(at >= 0, v.symbols[at], 0)
                 rest = np.flatnonzero(symbols == 0)
-                symbols[rest] = v.own + np.array([class_of(w) for w in words.take(pa.array(rest)).to_pylist()], np.int64)
+                symbols[rest] = v.own + classes_of(words.take(pa.array(rest)))
                 counts = np.bincount(owner, minlength=n)
                 summed = lambda x: np.bincount(owner, weights=np.where(at >= 0, x, 0.0)[tokens], minlength=n)  # noqa: E731, B023
                 stops = np.cumsum(counts + 1)
@@ -376,13 +394,13 @@ def score(docs: DataFrame, part: int = 1, parts: int = 5, states: int = STATES,
     words, c = top["word"].combine_chunks(), top["c"].to_numpy().astype(float)
     own = min(WORDS, len(words))
     base = total + 0.5 * (kinds + 1)
-    spellings = docs.sparkSession.sparkContext.broadcast(frozenset(words[:own].to_pylist()))
+    spellings = docs.sparkSession.sparkContext.broadcast(pa.concat_arrays([words[:own]]))
 
     def rest(batches):
         for batch in batches:
-            names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            keep = np.array([w not in spellings.value for w in names], bool)
-            of = np.array([class_of(w) for w in names], np.int32)
+            names, n = batch.column(0), batch.column(1).to_numpy()
+            keep = ~pc.is_in(names, value_set=spellings.value).to_numpy(zero_copy_only=False)
+            of = classes_of(names).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(of[keep]), pa.array(n[keep])], names=["class", "c"])
 
     classes = counts.mapInArrow(rest, "class int, c long").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
@@ -393,7 +411,7 @@ def score(docs: DataFrame, part: int = 1, parts: int = 5, states: int = STATES,
     shares = np.concatenate([[n_train], c[:own], in_class]) + 0.5
     shares /= shares.sum()
     ranks = np.arange(len(words))
-    of = np.array([class_of(w) for w in words[own:].to_pylist()], np.int64)
+    of = classes_of(words[own:])
     within = np.concatenate([np.zeros(own), np.log10((c[own:] + 0.5) / mass[of])])
     symbols = np.where(ranks < own, ranks + 1, 0)
     # the entry at -1 stands for words that are not known

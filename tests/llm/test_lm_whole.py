@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from barograph.llm import lm
 
@@ -99,3 +100,11 @@ def test_scores_by_brute_force(spark, docs_of, odd_docs, monkeypatch):
         for g, w in zip(got, sorted(want), strict=True):
             assert g[:5] == w[:5]
             np.testing.assert_allclose(g[5:], w[5:], rtol=1e-9)
+
+
+def test_classes_of_words_by_their_definition():
+    rng = np.random.default_rng(3)
+    words = [b"", b"a", b"ab", b"abc", b"hello", "é漢字".encode(), b"\xff\x00\x01", *(rng.integers(0, 256, i % 7, dtype=np.uint8).tobytes() for i in range(500))]
+    assert lm.classes_of(pa.array(words, pa.binary())).tolist() == [lm.class_of(w) for w in words]
+    assert lm.classes_of(pa.array(words, pa.binary())[3:]).tolist() == [lm.class_of(w) for w in words[3:]]
+    assert lm.classes_of(pa.array([], pa.binary())).tolist() == []
