@@ -117,16 +117,17 @@ class Model:
             out[own] = logs
         return out
 
-    def expected(self, texts: list[np.ndarray], shares: np.ndarray | None = None, kind=np.float64, most: int = 400_000):
+    def expected(self, texts: list[np.ndarray], shares: np.ndarray | None = None, kind=np.float64, most: int = 1_000_000):
         """Baum-Welch counts of texts: of first states, moves, and emissions.
 
         Emissions are taken relative to shares (of the symbols), which changes no count and keeps
         numbers near 1, so a scale every fourth symbol is enough, in single precision too."""
         k, lengths = len(self.start), np.fromiter(map(len, texts), np.int64, len(texts))
-        first, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(self.emit)))
+        first, moves = np.zeros(k), np.zeros((k, k))
+        emits = np.zeros((k, len(self.emit))) if k % 2 else np.zeros((k // 2, len(self.emit)), complex)  # two states in one number
         if not lengths.sum():
-            return first, moves, emits.T
-        flat, end = np.concatenate(texts), np.cumsum(lengths)
+            return first, moves, np.zeros((len(self.emit), k))
+        flat, end = np.concatenate(texts).astype(np.intp), np.cumsum(lengths)
         cuts = -(-lengths // STRETCH)
         owner = np.repeat(np.arange(len(texts)), cuts)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
@@ -137,31 +138,21 @@ class Model:
         lo, hi, a, b, nth = (x[order] for x in (lo, hi, a, b, nth))
         size = np.cumsum(hi - lo)
         most = max(most, int(hi[0] - lo[0]))
-        ratio = (self.emit / (self.emit.mean(1) if shares is None else shares)[:, None]).astype(kind)
+        ratio = np.ascontiguousarray((self.emit / (self.emit.mean(1) if shares is None else shares)[:, None]).astype(kind))
         move = self.move.astype(kind)
         usual = np.linalg.matrix_power(self.move, 4096).mean(0)
-        tables = ratio, move, np.ascontiguousarray(move.T)
-        room = [np.empty((min(most, size[-1]), k), kind) for _ in range(3)], np.empty((k, min(most, size[-1])))
+        tables, held = (ratio, move, np.ascontiguousarray(move.T)), min(most, int(size[-1]))
+        room = np.empty(held, np.intp), np.empty((held, k), kind)
         at = 0
         while at < len(lo):
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
             s = slice(at, to)
             begin = np.where(nth[s, None] == 0, self.start, usual).astype(kind)
-            alive, place, time = by_time(hi[s] - lo[s])
-            source = np.repeat(lo[s], hi[s] - lo[s]) + time
-            symbols = np.empty(len(source), np.int64)
-            symbols[place] = flat[source]
-            counted = None
-            if (lo[s] != a[s]).any() or (hi[s] != b[s]).any():
-                counted = np.empty(len(source), kind)
-                counted[place] = (source >= np.repeat(a[s], hi[s] - lo[s])) & (source < np.repeat(b[s], hi[s] - lo[s]))
-            gamma, total = recursions(symbols, alive, begin, counted, tables, room)
+            gamma, total = recursions(flat, lo[s], hi[s] - lo[s], (a - lo)[s], (b - lo)[s], begin, tables, room, emits)
             moves += total
-            first += gamma[:, : alive[0]][:, nth[s] == 0].sum(1)
-            for i in range(k):
-                emits[i] += np.bincount(symbols, weights=gamma[i], minlength=len(self.emit))
+            first += gamma[nth[s] == 0].sum(0, dtype=float)
             at = to
-        return first, moves * self.move, emits.T
+        return first, moves * self.move, np.ascontiguousarray(emits.T).view(float)
 
     def updated(self, first, moves, emits, shares: np.ndarray) -> Model:
         k, total, prior = len(first), moves.sum(1, keepdims=True), PRIOR + FLOOR * emits.sum(0)
@@ -169,48 +160,66 @@ class Model:
         return Model((first + 1) / (first.sum() + k), (moves + more) / (total + k * more), (emits + prior * shares[:, None]) / (emits.sum(0) + prior))
 
 
-def recursions(symbols, alive, begin, counted, tables, room) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward over sequences laid out by time: every symbol's state probabilities (states x
-    symbols) and the sums of alpha x weighted beta that the moves are counted from. counted: 0 for symbols that
-    count nothing."""
-    (ratio, move, back), n = tables, len(symbols)
-    e, alpha, beta = (x[:n] for x in room[0])
-    np.take(ratio, symbols, 0, out=e, mode="clip")
-    ends, edge, scales = np.cumsum(alive).tolist(), set(), {}
-    if counted is not None:
-        edge = set(np.flatnonzero(np.minimum.reduceat(counted, np.cumsum(alive) - alive) == 0).tolist())
+def recursions(flat, lo, lengths, since, until, begin, tables, room, emits) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward over the sequences of flat that begin at lo, longest first and laid out time by time:
+    the state probabilities of their first symbols and the sums of alpha x weighted beta that the moves are counted
+    from; every symbol's state probabilities are added to emits. Of each sequence, times from since to until count.
+
+    Only symbols and alpha are kept for all times, and alpha gives way to the probabilities; emissions are looked up
+    again on the way back, and all else is of a few times and stays in the processor's cache."""
+    ratio, move, back = tables
+    alive = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+    ends, scales = np.cumsum(alive).tolist(), {}
     alive, ones = alive.tolist(), np.ones((ratio.shape[1], 1), ratio.dtype)
-    now = np.multiply(e[: alive[0]], begin, out=alpha[: alive[0]])
-    for t in range(1, len(alive)):
-        a, b = ends[t - 1], ends[t]
-        after = np.dot(now[: b - a], move, out=alpha[a:b])
-        np.multiply(after, e[a:b], out=after)
-        if t % 4 == 0:
-            scales[t] = 1 / np.dot(after, ones)
-            np.multiply(after, scales[t], out=after)
+    n, most = ends[-1], alive[0]
+    symbols, alpha = room[0][:n], room[1][:n]
+    e, x, w = (np.empty((most, ratio.shape[1]), ratio.dtype) for _ in range(3))
+    next_at = lo.astype(np.intp)
+    for t, m in enumerate(alive):
+        a, b = ends[t] - m, ends[t]
+        after, at = alpha[a:b], next_at[:m]
+        emitted = ratio.take(flat.take(at, 0, symbols[a:b], "clip"), 0, e[:m], "clip")
+        at += 1
+        if t:
+            np.dot(now[:m], move, out=after)
+            np.multiply(after, emitted, out=after)
+            if t % 4 == 0:
+                scales[t] = 1 / np.dot(after, ones)
+                np.multiply(after, scales[t], out=after)
+        else:
+            np.multiply(emitted, begin, out=after)
         now = after
-    total, part, later, w = np.zeros(move.shape), np.empty(move.shape, move.dtype), 0, None
+    cut = until[until < lengths]
+    head, tail = int(since.max()), int(cut.min()) if len(cut) else len(alive)  # all times between count
+    totals, later, added = np.zeros((len(alive), *move.shape), move.dtype), 0, n
+    weighted = counts = None  # of the time after
+    columns = (alpha.view(np.result_type(alpha.dtype, np.complex64)) if np.iscomplexobj(emits) else alpha).T
     for t in range(len(alive) - 1, -1, -1):
-        a, b = ends[t] - alive[t], ends[t]
-        x, y = beta[a:b], alpha[a:b]
-        if later < alive[t]:  # these end here; from here on alpha and beta have product 1
-            x[later:] = 1 / np.dot(y[later:], ones)
+        m = alive[t]
+        a, b = ends[t] - m, ends[t]
+        beta, y = x[:m], alpha[a:b]
+        if later < m:  # these end here; from here on alpha and beta have product 1
+            np.divide(1, np.dot(y[later:], ones), out=beta[later:])
         if later:
-            np.dot(w, back, out=x[:later])
-            if t + 1 in edge:
-                w = w * counted[b : b + later, None]
-            total += np.dot(y[:later].T, w, out=part)
+            np.dot(weighted, back, out=beta[:later])
+            if counts is not None:
+                np.multiply(weighted, counts, out=weighted)
+            np.dot(y[:later].T, weighted, out=totals[t])
+        counts = None if head <= t < tail else ((since[:m] <= t) & (t < until[:m])).astype(ratio.dtype)[:, None]
         if t:
-            w = np.multiply(e[a:b], x, out=e[a:b])
+            emitted = ratio.take(symbols[a:b], 0, e[:m], "clip")
+            weighted = np.multiply(emitted, beta, out=w[:m])
             if t in scales:
-                np.multiply(w, scales[t], out=w)
-        np.multiply(x, y, out=x)
-        if t in edge:
-            np.multiply(x, counted[a:b, None], out=x)
-        later = alive[t]
-    gamma = room[1][:, :n]
-    gamma[:] = beta.T
-    return gamma, total
+                np.multiply(weighted, scales[t], out=weighted)
+        np.multiply(beta, y, out=y)
+        if counts is not None:
+            np.multiply(y, counts, out=y)
+        if added - a >= 4096 or not t:
+            for sums, column in zip(emits, columns, strict=True):
+                np.add.at(sums, symbols[a:added], column[a:added].astype(sums.dtype))
+            added = a
+        later = m
+    return alpha[:most], totals.sum(0, dtype=float)
 
 
 def starting_model(texts: list[np.ndarray], shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = 5) -> Model:
@@ -306,11 +315,11 @@ def coded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         from pyspark import TaskContext
 
         part, seq, v = TaskContext.get().partitionId(), 0, shared.value
-        for batch in batches:
-            for a, b in slices(batch.column(2)):
-                n = b - a
-                words, tokens, owner = split(batch.column(2)[a:b])
-                at = pc.fill_null(pc.index_in(words, value_set=v.words), -1).to_numpy(zero_copy_only=False)
+        for held in bunches(batches, "text"):
+            parts = [split(batch.column(2)) for batch in held]
+            found = pc.fill_null(pc.index_in(pa.chunked_array([words for words, _, _ in parts], pa.binary()), value_set=v.words), -1).to_numpy()
+            for batch, (words, tokens, owner), at in zip(held, parts, np.split(found, np.cumsum([len(words) for words, _, _ in parts])[:-1]), strict=True):
+                n = len(batch)
                 symbols = np.where(at >= 0, v.symbols[at], 0)
                 rest = np.flatnonzero(symbols == 0)
                 symbols[rest] = v.own + classes_of(words.take(pa.array(rest)))
@@ -326,7 +335,7 @@ def coded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 entries = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array((symbols[word] - v.own).astype(np.int32)), pa.array(times)], ["word", "class", "n"])
                 rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=n))).astype(np.int32)), entries)
                 cols = [
-                    batch.column(0)[a:b], batch.column(1)[a:b], np.full(n, part), np.arange(seq, seq + n), counts + 1,
+                    batch.column(0), batch.column(1), np.full(n, part), np.arange(seq, seq + n), counts + 1,
                     summed(np.ones(len(at))).astype(np.int64) + v.end_known, summed(v.logs[at]) + v.end_log, summed(v.within[at]),
                     pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(flat)]),
                 ]
@@ -336,6 +345,23 @@ def coded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, part int, seq long, n_tokens long, known long, logs double, within double, symbols binary, rare array<struct<word binary, class int, n long>>")
 
 
+def bunches(batches, name: str, most: int = 16_000_000):
+    """Lists of batches of about 2 MB of texts each, at most `most` bytes together; a longer text is a list of its
+    own. What is set up for a lookup, such as a hash table of all known words, is set up once for a list."""
+    held, size = [], 0
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(name))
+        for a, b in slices(column):
+            n = pc.sum(pc.binary_length(column[a:b])).as_py() or 0
+            if held and size + n > most:
+                yield held
+                held, size = [], 0
+            held.append(batch.slice(a, b - a))
+            size += n + 16 * (b - a)
+    if held:
+        yield held
+
+
 def sequences(batch: pa.RecordBatch, name: str = "symbols") -> list[np.ndarray]:
     return [np.frombuffer(x, "<u2") for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -108,3 +109,34 @@ def test_classes_of_words_by_their_definition():
     assert lm.classes_of(pa.array(words, pa.binary())).tolist() == [lm.class_of(w) for w in words]
     assert lm.classes_of(pa.array(words, pa.binary())[3:]).tolist() == [lm.class_of(w) for w in words[3:]]
     assert lm.classes_of(pa.array([], pa.binary())).tolist() == []
+
+
+def test_counts_hold_few_bytes_a_symbol_and_pairs_of_states_count_as_single_ones():
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 50, n).astype("<u2") for n in rng.integers(1, 1500, 500)]
+    shares = np.bincount(np.concatenate(texts), minlength=60) + 0.5
+    shares /= shares.sum()
+    three = lm.starting_model([], shares, states=3)
+    to = np.array([0, 1, 2, 2])  # four states, the last two alike
+    half = np.array([1, 1, 0.5, 0.5])
+    four = lm.Model(three.start[to] * half, three.move[to][:, to] * half, three.emit[:, to])
+    merged = np.eye(3)[to]
+    for kind, near in ((np.float64, 1e-9), (np.float32, 1e-4)):
+        want, got = (m.expected(texts, shares, kind) for m in (three, four))
+        for x, y in zip((got[0] @ merged, merged.T @ got[1] @ merged, got[2] @ merged), want, strict=True):
+            np.testing.assert_allclose(x, y, rtol=near, atol=near)
+        np.testing.assert_allclose(got[2].sum(1), np.bincount(np.concatenate(texts), minlength=60), rtol=near)
+    eight = lm.starting_model([], shares)
+    tracemalloc.start()
+    eight.expected(texts, shares, np.float32)
+    most = tracemalloc.get_traced_memory()[1] / sum(map(len, texts))
+    tracemalloc.stop()
+    assert most < 100  # 40 for a symbol and its eight states; each further array of all times is 32 or more
+
+
+def test_known_words_are_set_up_once_for_many_slices():
+    sizes = [10, 1_500_000, 1_500_000, 0, 3_000_000, 9_000_000, 40_000_000, 5, 5]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 3)), pa.array([None if n == 0 else "x" * n for n in sizes[i : i + 3]], pa.string())], names=["doc_id", "text"]) for i in (0, 3, 6)]
+    got = [[b.column(0).to_pylist() for b in held] for held in lm.bunches(batches, "text")]
+    assert got == [[[0, 1], [2], [3], [4], [5]], [[6]], [[7, 8]]]
+    assert list(lm.bunches(batches[:0], "text")) == list(lm.bunches([batches[0].slice(0, 0)], "text")) == []
